@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from tarn.llm import decontaminate, pieces, urls
+from tarn.llm import decontaminate, pieces, quality, simhash, urls
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_url_filters": urls.op4_url_filters,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 

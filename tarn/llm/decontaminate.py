@@ -178,6 +178,25 @@ def _match(spark: SparkSession, rows: DataFrame, index: BenchmarkIndex, merge: b
     return rows.mapInArrow(run, schema)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without those that have a word inside an occurring window, with their columns."""
+    for block in _blocks(benchmark, item, item_text, block_words):
+        docs = _without_hits(docs, _index(block, window, k), text)
+    return docs
+
+
+def _without_hits(docs: DataFrame, index: BenchmarkIndex, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array([not index.hits(words_of(t))[1] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item, with windows of 10 words."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")

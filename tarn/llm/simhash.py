@@ -13,6 +13,11 @@ counted together: the differing planes go through carry-save adders into bit-sli
 64 distances are beyond the radius are abandoned. A group passes on a spanning forest of its links, which joins
 what the links join; components are found over distinct fingerprints.
 
+For similarity thresholds that 64 bits can't resolve, `similar` uses fingerprints of WIDE words of 64 bits over distinct
+shingles. Bits differ in the share acos(cosine) / pi of places, which turns a resemblance (Jaccard) into a radius; as
+that radius is far too large for blocks, candidates share one of several keys of sampled bits, whose number gives the
+wanted recall at the threshold. Chunks, planes, counters and components are the same.
+
 Defined cases: a null, empty or wordless text has fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; rows that repeat each get a row; a null id never names a component unless all its ids are null.
 """
@@ -20,6 +25,7 @@ make one shingle; rows that repeat each get a row; a null id never names a compo
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,58 +43,81 @@ HOT_KEYS = 200_000
 _SLICE = 1 << 15
 
 
+#: 64-bit words of a wide fingerprint, and the recall of its candidate search at the threshold.
+WIDE, RECALL = 4, 0.98
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a whole text, unsigned."""
+    return fingerprint_words(text, shingle, 1, False)[0]
+
+
+def fingerprint_words(text: str | None, shingle: int, words: int, distinct: bool) -> list[int]:
+    """The fingerprint's words; the first comes from XXH64, the others from its values mixed on.
+
+    distinct: each shingle counts once."""
     from xxhash import xxh64_intdigest
 
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, len(starts), _SLICE):
-        pairs = zip(starts[at : at + _SLICE], ends[at : at + _SLICE], strict=True)
-        hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in pairs], "<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > len(starts), bitorder="little").view("<u8")[0])
+    tokens = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return [0] * words
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(tokens) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(tokens)) - 1 :].tolist()
+    hashes = np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+    if distinct:
+        hashes = np.unique(hashes)
+    out = []
+    for word in range(words):
+        h = hashes if not word else _mixed(hashes, word)
+        set_bits = np.zeros(64, np.int64)
+        for at in range(0, len(h), _SLICE):
+            part = np.ascontiguousarray(h[at : at + _SLICE]).astype("<u8").view(np.uint8).reshape(-1, 8)
+            set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(set_bits * 2 > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """Other 64 bits of the same shingles (the finalising steps of splitmix64)."""
+    z = h + np.uint64(0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None) -> DataFrame:
-    """doc_id, the columns of extra (bigint) and fp, the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, words: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, the columns of extra (bigint) and fp0, fp1, ..., the fingerprint's words as signed numbers."""
     rows = docs.select(F.col(doc).alias("doc_id"), *(extra or []), F.col(text).alias("text"))
     names = [c for c in rows.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {n: batch.column(n) for n in names} | {"fp": [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]}
+        prints = [fingerprint_words(t, shingle, words, distinct) for t in batch.column("text").to_pylist()]
+        return {n: batch.column(n) for n in names} | {f"fp{w}": [_signed(p[w]) for p in prints] for w in range(words)}
 
-    return map_texts(rows, rows.columns, run, ", ".join(f"{n} bigint" for n in names) + ", fp bigint")
+    return map_texts(rows, rows.columns, run, ", ".join(f"{n} bigint" for n in names) + "".join(f", fp{w} bigint" for w in range(words)))
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------------
 
-_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 class _Counters:
-    """Bit-sliced counters of differing planes, to 7 and then sticky, fed by carry-save adders."""
+    """Bit-sliced counters of differing planes, sticky beyond their levels, fed by carry-save adders."""
 
-    def __init__(self, n: int) -> None:
-        self.c = [np.zeros(n, np.uint64) for _ in range(3)]
+    def __init__(self, n: int, radius: int) -> None:
+        self.levels = (radius + 1).bit_length()
+        self.radius = radius
+        self.c = [np.zeros(n, np.uint64) for _ in range(self.levels)]
         self.over = np.zeros(n, np.uint64)
-        self.held: list[np.ndarray | None] = [None, None, None]
+        self.held: list[np.ndarray | None] = [None] * self.levels
 
     def add(self, plane: np.ndarray, level: int = 0) -> None:
         """Two planes of a level and its counter make a new counter and one plane of the next level."""
-        if level == 3:
+        if level == self.levels:
             self.over |= plane
         elif self.held[level] is None:
             self.held[level] = plane
@@ -100,19 +129,15 @@ class _Counters:
             self.c[level] = both ^ c
             self.add(carry, level + 1)
 
-    def settle(self) -> None:
-        """Add what is held, so that the counters are exact."""
-        for level in range(3):
+    def beyond(self) -> np.ndarray:
+        """Lanes whose count is over the radius."""
+        for level in range(self.levels):  # what is held, so that the counters are exact
             if self.held[level] is not None:
                 self.add(np.zeros_like(self.over), level)
-
-    def beyond(self, radius: int) -> np.ndarray:
-        """Lanes whose count is over the radius (0 to 6)."""
-        self.settle()
         more, equal = self.over.copy(), ~self.over
-        for level in (2, 1, 0):
+        for level in reversed(range(self.levels)):
             c = self.c[level]
-            if radius >> level & 1:
+            if self.radius >> level & 1:
                 equal = equal & c
             else:
                 more |= equal & c
@@ -125,30 +150,36 @@ class _Counters:
 
 
 def sliced_links(groups: list[np.ndarray], radius: int = RADIUS, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (i, j), i < j, as places in the groups' concatenation; pairs of different groups aren't compared."""
+    """Linked pairs (i, j), i < j, as places in the groups' concatenation; pairs of different groups aren't compared.
+
+    A group is an array of fingerprints, or of rows of fingerprint words."""
     if not groups:
         return
+    groups = [g.reshape(len(g), -1) for g in groups]
+    width = groups[0].shape[1]
     sizes = np.array([len(g) for g in groups])
     words = -(-sizes // 64)
     first_word, first_row = np.concatenate(([0], np.cumsum(words))), np.concatenate(([0], np.cumsum(sizes)))
     total = int(first_word[-1])
-    lanes = np.zeros(total * 64, np.uint64)
+    lanes = np.zeros((total * 64, width), np.uint64)
     valid = np.zeros(total * 64, bool)
     row_of = np.zeros(total * 64, np.int64)
-    for g, (w, r) in zip(groups, zip(first_word, first_row, strict=False), strict=False):
+    for g, w, r in zip(groups, first_word[:-1], first_row[:-1], strict=True):
         at = slice(int(w) * 64, int(w) * 64 + len(g))
         lanes[at], valid[at], row_of[at] = g, True, np.arange(r, r + len(g))
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # lane, bit
-    planes = np.ascontiguousarray(np.packbits(bits.reshape(total, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8").reshape(64, total)
+    planes = np.empty((width * 64, total), np.uint64)
+    for w in range(width):
+        bits = np.unpackbits(np.ascontiguousarray(lanes[:, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # lane, bit
+        planes[w * 64 : w * 64 + 64] = np.packbits(bits.reshape(total, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64, total)
     lives = np.packbits(valid.reshape(total, 64), axis=1, bitorder="little").view("<u8").reshape(total)
     values = np.concatenate(groups)
     # a row meets its own word and the later words of its group
     own = np.concatenate([first_word[k] + np.arange(len(g)) // 64 for k, g in enumerate(groups)])
-    last = np.repeat(first_word[1:], sizes)
-    meets = last - own
-    done = 0
+    meets = np.repeat(first_word[1:], sizes) - own
+    upto_row, done = np.cumsum(meets), 0
     while done < len(values):
-        upto = max(done + 1, int(np.searchsorted(np.cumsum(meets[done:]), block, side="right")) + done)
+        before = int(upto_row[done - 1]) if done else 0
+        upto = max(done + 1, int(np.searchsorted(upto_row, before + block, side="right")))
         n = meets[done:upto]
         rows = np.repeat(np.arange(done, upto), n)
         at = np.repeat(own[done:upto], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -157,12 +188,14 @@ def sliced_links(groups: list[np.ndarray], radius: int = RADIUS, block: int = 1
 
 
 def _compare(values: np.ndarray, planes: np.ndarray, lives: np.ndarray, row_of: np.ndarray, rows: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    counters, x = _Counters(len(rows)), values[rows]
-    for b in range(64):
-        counters.add(planes[b][at] ^ (np.uint64(0) - (x >> np.uint64(b) & np.uint64(1))))
-        if b in (23, 31, 39, 47, 55, 63):
-            near = ~counters.beyond(radius) & lives[at]
-            if b < 63:
+    counters, x = _Counters(len(rows), radius), values[rows]
+    last = len(planes) - 1
+    first = min(last, 2 * radius + 15) | 7  # sooner than this, hardly a word is beyond the radius in all its lanes
+    for b in range(last + 1):
+        counters.add(planes[b][at] ^ (np.uint64(0) - (x[:, b // 64] >> np.uint64(b % 64) & np.uint64(1))))
+        if b >= first and b % 8 == 7 or b == last:
+            near = ~counters.beyond() & lives[at]
+            if b < last:
                 alive = np.flatnonzero(near)
                 if not len(alive):
                     return
@@ -179,11 +212,8 @@ def _compare(values: np.ndarray, planes: np.ndarray, lives: np.ndarray, row_of:
 
 
 def forest(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each linked fingerprint in a group the root of its tree, as values."""
-    if not groups:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    values = np.concatenate(groups)
-    parent = np.arange(len(values))
+    """Of each linked row in a group the root of its tree, as places in the groups' concatenation."""
+    parent = np.arange(sum(map(len, groups)))
     for i, j in sliced_links(groups, radius):
         while True:
             a, b = parent[i], parent[j]
@@ -192,10 +222,10 @@ def forest(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray,
                 break
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while (up := parent[parent]).tobytes() != parent.tobytes():
+            while not np.array_equal(up := parent[parent], parent):
                 parent = up
-    moved = np.flatnonzero(parent != np.arange(len(values)))
-    return values[moved], values[parent[moved]]
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return moved, parent[moved]
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------
@@ -212,47 +242,99 @@ def layout(radius: int, n: int, chunk: int = CHUNK) -> list[int]:
     raise AssertionError
 
 
-def linked(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that join exactly what the links join."""
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be between 0 and 6")
-    tables = layout(radius, classes.count(), chunk)
-    keyed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables)])).alias("k")).select("fp", "k.t", "k.key")
+def bands(radius: int, words: int, n: int, recall: float = RECALL, seed: int = 1) -> list[list[int]]:
+    """Bit numbers of each key: so many keys that fingerprints at the radius share one with probability recall.
+
+    The keys' length follows the number of fingerprints, so that buckets stay small."""
+    bits = max(12, math.ceil(math.log2(max(1, n) / 512)))
+    share = (1 - radius / (64 * words)) ** bits
+    r = np.random.default_rng(seed)
+    return [sorted(r.choice(64 * words, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
+
+
+def radius_of(similarity: float, words: int) -> int:
+    """Differing bits of two texts of a given Jaccard similarity of their shingles (of about equal number): those
+    expected and half a standard deviation more, so that most texts at the threshold are within."""
+    n, share = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+
+
+def linked(classes: DataFrame, keys: list[Column], radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between classes (node, fp0, ...) that join exactly what links inside equal keys join."""
+    prints = [c for c in classes.columns if c.startswith("fp")]
+    keyed = classes.select("node", *prints, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])).alias("k")).select("node", *prints, "k.t", "k.key")
     hot = keyed.groupBy("t", "key").count().where(F.col("count") > chunk)
     hot = checkpoint(hot.select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
     if hot.count() <= HOT_KEYS:
         hot = F.broadcast(hot)
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
-    dealt = keyed.join(hot, ["t", "key"], "left").select("t", "key", "fp", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
-    groups = dealt.groupBy("t", "key", "p.lo", "p.hi").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    dealt = keyed.join(hot, ["t", "key"], "left").select("t", "key", "node", *prints, F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
+    groups = dealt.groupBy("t", "key", "p.lo", "p.hi").agg(F.collect_list(F.struct("node", *prints)).alias("of")).where(F.size("of") > 1).select("of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
-            flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
             offsets = offsets - offsets[0]
+            columns = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(1 + len(prints))]
+            nodes, values = columns[0], np.stack(columns[1:], axis=1).view(np.uint64)
             at = 0
             while at < batch.num_rows:  # some thousands of fingerprints at a time
                 upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 16384, side="right")) - 1)
-                a, b = forest([flat[offsets[k] : offsets[k + 1]] for k in range(at, upto)], radius)
-                at = upto
+                a, b = forest([values[offsets[k] : offsets[k + 1]] for k in range(at, upto)], radius)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                    first = offsets[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[first + a]), pa.array(nodes[first + b])], names=["a", "b"])
+                at = upto
 
     return groups.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None) -> DataFrame:
-    """Per row: doc_id, the columns of extra, fp and component_id, the smallest id of those it reaches over links."""
-    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(linked(classes.select("fp"), radius, chunk))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """prints (node, ...) with component_id; classes: (node, least), least the smallest id of the class."""
+    roots = components(edges)
+    rooted = classes.select("node", "least").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp")
+    return prints.join(rooted.join(names, "root").select("node", "component_id"), "node")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, least: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, the columns of extra, fp0 and component_id, the smallest `least` of those it reaches over links."""
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be between 0 and 6")
+    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra).withColumn("node", F.col("fp0")))
+    classes = checkpoint(prints.groupBy("node", "fp0").agg(F.min(least).alias("least")))
+    keys = [F.col("fp0").bitwiseAND(F.lit(m)) for m in layout(radius, classes.count(), chunk)]
+    return _named(prints, classes, linked(classes.select("node", "fp0"), keys, radius, chunk))
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, least: str = "doc_id") -> DataFrame:
+    """The same with wide fingerprints, linked where their estimated similarity of shingle sets is high enough.
+
+    A class is named by 64 bits of its fingerprint's hash."""
+    radius, names = radius_of(similarity, WIDE), [f"fp{w}" for w in range(WIDE)]
+    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra, WIDE, True).withColumn("node", F.xxhash64(*names)))
+    classes = checkpoint(prints.groupBy("node", *names).agg(F.min(least).alias("least")))
+    keys = []
+    for places in bands(radius, WIDE, classes.count()):
+        key = F.lit(0).cast("long")
+        for i, b in enumerate(places):
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(names[b // 64], b % 64).bitwiseAND(F.lit(1).cast("long")), i))
+        keys.append(key)
+    return _named(prints, classes, linked(classes.select("node", *names), keys, radius, chunk))
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but the row of the smallest id (a null id last) of each group of near-duplicates.
+
+    Rows are told apart by their place in the input, which must be a stored table: it is read twice."""
+    row = F.monotonically_increasing_id()
+    found = similar(docs, shingle, similarity, extra=[row.alias("_row")], least="_row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row")).alias("m"))
+    kept = first.select(F.col("m._row").alias("_tarn_row"))
+    return docs.withColumn("_tarn_row", row).join(kept, "_tarn_row", "left_semi").drop("_tarn_row")
 
 
 def hex_of(column: str) -> Column:
@@ -261,4 +343,4 @@ def hex_of(column: str) -> Column:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_of("fp0").alias("fingerprint"), "component_id")

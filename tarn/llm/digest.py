@@ -32,32 +32,50 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85]+", " "))
 
 
-def wide_hash(canon: Column) -> Column:
-    """32 hex digits."""
+def wide_hash(canon: Column) -> list[Column]:
+    """Two columns of 64 bits each, w1 and w2."""
+    return [F.xxhash64(canon).alias("w1"), F.xxhash64(F.lit("wide"), canon).alias("w2")]
+
+
+def hex_of(w1: str, w2: str) -> Column:
     part = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
-    return F.concat(part(F.xxhash64(canon)), part(F.xxhash64(F.lit("wide"), canon)))
+    return F.concat(part(w1), part(w2))
+
+
+def raw_sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def buckets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """For each distinct text: wide hash, SHA-256, rows, smallest id, and how many different texts share the hash.
+    """For each wide hash (b1, b2) an array `of` its different texts: SHA-256, rows and smallest id.
 
     Grouping is by hash and bytes; equal texts are summed up before the shuffle, so a text with very many copies is
     a row a task."""
-    canon = docs.select("doc_id", canonical(F.col(text)).alias("canon")).withColumn("wide", wide_hash(F.col("canon")))
-    texts = canon.groupBy("wide", "canon").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).select("wide", F.sha2("canon", 256).alias("sha"), "copies", "first_id")
-    each = texts.groupBy("wide").agg(F.collect_list(F.struct("sha", "copies", "first_id")).alias("of"))
-    return each.select("wide", F.size("of").alias("texts"), F.explode("of").alias("x")).select("wide", "texts", "x.sha", "x.copies", "x.first_id")
+    canon = docs.select("doc_id", canonical(F.col(text)).alias("canon")).select("doc_id", "canon", *wide_hash(F.col("canon")))
+    texts = canon.groupBy("w1", "w2", "canon").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).select("w1", "w2", raw_sha(F.col("canon")).alias("sha"), "copies", "first_id")
+    return texts.groupBy(F.col("w1").alias("b1"), F.col("w2").alias("b2")).agg(F.collect_list(F.struct("sha", "copies", "first_id")).alias("of"))
+
+
+def with_bucket(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (w1, w2, sha) with texts, the number of different texts of their hash, and copies and first_id of their own.
+
+    Buckets join on half of the hash, which isn't how they were grouped: so they are dealt out anew and adaptive
+    execution can split the rows of a bucket with very many."""
+    joined = rows.join(buckets(docs), F.col("w1") == F.col("b1"))
+    own = F.get(F.filter("of", lambda x: x["sha"] == F.col("sha")), F.lit(0))
+    return joined.where(F.col("w2") == F.col("b2")).withColumns({"texts": F.size("of"), "copies": own["copies"], "first_id": own["first_id"]}).drop("of", "b1", "b2")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint, copies (rows with the same canonical text) and first_id, their smallest id."""
     canon = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
-    rows = canon.select("doc_id", wide_hash(F.col("canon")).alias("wide"), F.sha2("canon", 256).alias("sha"))
-    return rows.join(buckets(docs), ["wide", "sha"]).select("doc_id", told_apart("wide", "sha", "texts").alias("fingerprint"), "copies", "first_id")
+    rows = canon.select("doc_id", *wide_hash(F.col("canon")), raw_sha(F.col("canon")).alias("sha"))
+    return with_bucket(rows, docs).select("doc_id", told_apart().alias("fingerprint"), "copies", "first_id")
 
 
-def told_apart(wide: str, sha: str, texts: str) -> Column:
-    return F.when(F.col(texts) > 1, F.concat(wide, F.lit("-"), sha)).otherwise(F.col(wide))
+def told_apart() -> Column:
+    wide = hex_of("w1", "w2")
+    return F.when(F.col("texts") > 1, F.concat(wide, F.lit("-"), F.lower(F.hex("sha")))).otherwise(wide)
 
 
 def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,20 +111,23 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document, its edited text and the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     canon = docs.withColumn("canon", canonical(F.col("text")))
-    rows = canon.select("doc_id", "text", wide_hash(F.col("canon")).alias("wide"), F.sha2("canon", 256).alias("sha"))
-    paired = with_next(rows, ["wide", "sha"])
+    rows = canon.select("doc_id", "text", *wide_hash(F.col("canon")), raw_sha(F.col("canon")).alias("sha"))
+    paired = with_next(rows, ["w1", "w2", "sha"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    paired = paired.select("doc_id", "wide", "sha", "next_wide", "next_sha", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    paired = paired.select("doc_id", "w1", "w2", "sha", "next_w1", "next_w2", "next_sha", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
     paired = paired.withColumn("edited_canon", canonical(F.col("edited")))
+    e1, e2 = wide_hash(F.col("edited_canon"))
+    paired = paired.withColumns({"e1": e1, "e2": e2, "e_sha": raw_sha(F.col("edited_canon")), "edited_sha256": raw_sha(F.col("edited"))})
+    same_hash = lambda a, b: (F.col("w1") == F.col(a)) & (F.col("w2") == F.col(b))
+    same = lambda a, b, sha: same_hash(a, b) & (F.col("sha") == F.col(sha))
     paired = paired.select(
-        "doc_id", "wide", "sha", "next_wide", "next_sha", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        wide_hash(F.col("edited_canon")).alias("edited_wide"), F.sha2("edited_canon", 256).alias("edited_text_sha"),
+        "doc_id", "w1", "w2", "sha", "n_chars", "edited_sha256", "e1", "e2", same("e1", "e2", "e_sha").alias("near_edited"), same("next_w1", "next_w2", "next_sha").alias("near_next"),
+        F.when(same_hash("e1", "e2") & (F.col("sha") != F.col("e_sha")), F.lower(F.hex("e_sha"))).alias("apart"),
     )
-    told = paired.join(buckets(docs), ["wide", "sha"])
-    same = lambda a, b: F.when((F.col("wide") == F.col(a)) & (F.col("sha") == F.col(b)), 1.0).otherwise(0.0)
-    apart = F.when((F.col("edited_wide") == F.col("wide")) & (F.col("edited_text_sha") != F.col("sha")), F.concat("edited_wide", F.lit("-"), "edited_text_sha")).when(F.col("edited_wide") == F.col("wide"), told_apart("wide", "sha", "texts")).otherwise(F.col("edited_wide"))
+    told, likeness = with_bucket(paired, docs), lambda c: F.when(F.col(c), 1.0).otherwise(0.0).alias(c)
+    edited_print = F.when(F.col("near_edited"), told_apart()).when(F.col("apart").isNotNull(), F.concat_ws("-", hex_of("e1", "e2"), "apart")).otherwise(hex_of("e1", "e2"))
     return told.select(
-        "doc_id", "n_chars", "edited_sha256", told_apart("wide", "sha", "texts").alias("fingerprint"), apart.alias("edited_fingerprint"),
-        same("edited_wide", "edited_text_sha").alias("near_edited"), same("next_wide", "next_sha").alias("near_next"), "copies", "first_id",
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), told_apart().alias("fingerprint"), edited_print.alias("edited_fingerprint"),
+        likeness("near_edited"), likeness("near_next"), "copies", "first_id",
     )

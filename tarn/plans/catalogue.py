@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tarn.plans import fixtures, ranking, texts  # noqa: F401  they register their queries
+from tarn.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["gated_rerank"](spark, sf_dir)
+    return ranking.gated_rerank(spark, sf_dir)

@@ -6,11 +6,13 @@ worked out here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DIGITS = 5
-_QUERY = Window.partitionBy("query_id")
+def _by_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
+
 
 
 def margins(ranked: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -27,8 +29,8 @@ def rarity_confidence(passed: Column, total: Column, m: Column) -> Column:
 
 def with_confidence(verified: DataFrame) -> DataFrame:
     """Rows (query_id, doc_id, passed, total) with m, the candidates of the query that pass anything, n_all_pass and conf."""
-    m = F.sum(F.when(F.col("passed") > 0, 1).otherwise(0)).over(_QUERY)
-    every = F.sum(F.when((F.col("total") > 0) & (F.col("passed") == F.col("total")), 1).otherwise(0)).over(_QUERY)
+    m = F.sum(F.when(F.col("passed") > 0, 1).otherwise(0)).over(_by_query())
+    every = F.sum(F.when((F.col("total") > 0) & (F.col("passed") == F.col("total")), 1).otherwise(0)).over(_by_query())
     return verified.withColumns({"m": m, "n_all_pass": every}).withColumn("conf", rarity_confidence(F.col("passed"), F.col("total"), F.col("m")))
 
 
@@ -40,7 +42,7 @@ def restricted(verified: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def min_max(ranked: DataFrame) -> DataFrame:
     """ranked with norm, the score between the least and largest of the query's pool; 1 where they don't differ."""
-    low, high = F.min("score").over(_QUERY), F.max("score").over(_QUERY)
+    low, high = F.min("score").over(_by_query()), F.max("score").over(_by_query())
     return ranked.withColumn("norm", F.when(high - low < 1e-9, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
@@ -72,7 +74,7 @@ def blend(ranked: DataFrame, verified: DataFrame, alpha: float | Column, depth:
         conf = F.when(F.col("rank") <= depth, conf).otherwise(0.0)
     rows = min_max(ranked).join(verified.select("query_id", "doc_id", "conf"), ["query_id", "doc_id"], "left").withColumn("conf", conf)
     rows = rows.withColumn("final", F.round(F.col("norm") + F.col("conf") * alpha, digits))
-    return rows.withColumn("final_rank", F.row_number().over(_QUERY.orderBy(F.desc("final"), "rank")))
+    return rows.withColumn("final_rank", F.row_number().over(_by_query().orderBy(F.desc("final"), "rank")))
 
 
 def unseen(candidates: DataFrame, cache: DataFrame) -> DataFrame:

@@ -125,7 +125,8 @@ def decontaminate(
         raise ValueError("k must be between 1 and window")
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item, item_text, block_words)
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    # rows are told apart by their place in the input, which is read once a block
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     if len(blocks) == 1:
         return _match(spark, rows, _index(blocks[0], window, k), merge=False)
     parts = [_match(spark, rows, _index(block, window, k), merge=True) for block in blocks]
@@ -157,18 +158,15 @@ def _match(spark: SparkSession, rows: DataFrame, index: BenchmarkIndex, merge: b
     arrow = _arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        index, base, seen = shared.value, TaskContext.get().partitionId() << 33, 0
+        index = shared.value
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = words_of(text)
                 hit, items = index.hits(words)
                 items.sort()
                 if merge:
-                    out.append((base + seen, doc_id, len(words), np.flatnonzero(hit).tolist(), items))
-                    seen += 1
+                    out.append((row, doc_id, len(words), np.flatnonzero(hit).tolist(), items))
                 else:
                     n_hit = int(hit.sum())
                     out.append((doc_id, len(words), n_hit, len(items), sha256(",".join(items).encode()), n_hit > 0, items))

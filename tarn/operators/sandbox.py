@@ -134,7 +134,7 @@ def verify(code: str, examples: list[tuple[str, str]], any_order: bool, patience
     return runs
 
 
-VERDICT = "passed int, total int, first_status string, first_output string, statuses array<string>, runtime_ms double"
+VERDICT = "passed int, total int, first_status string, failure string, first_output string, statuses array<string>, runtime_ms double"
 
 
 def verify_pairs(pairs: DataFrame, salts: int = 8) -> DataFrame:
@@ -153,8 +153,8 @@ def verify_pairs(pairs: DataFrame, salts: int = 8) -> DataFrame:
                     patience, last = (Patience(), r.doc_id)
                 examples = [(e["stdin"], e["expected"]) for e in r.examples] if r.examples is not None else []
                 runs = verify(r.code or "", examples, bool(r.any_order), patience) if examples else []
-                rows.append((r.query_id, r.doc_id, sum(x.matched for x in runs), len(examples), runs[0].status if runs else None, runs[0].stdout.strip() if runs else "", [x.status for x in runs], sum(x.runtime_ms for x in runs)))
-            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "passed", "total", "first_status", "first_output", "statuses", "runtime_ms"])
+                rows.append((r.query_id, r.doc_id, sum(x.matched for x in runs), len(examples), runs[0].status if runs else None, next(("wrong_output" if x.status == "ok" else x.status for x in runs if not x.matched), None), runs[0].stdout.strip() if runs else "", [x.status for x in runs], sum(x.runtime_ms for x in runs)))
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "passed", "total", "first_status", "failure", "first_output", "statuses", "runtime_ms"])
 
     kept = dealt.select("query_id", "doc_id", "code", "examples", "any_order")
     return kept.mapInPandas(judge, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, {VERDICT}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import shapes
 from tarn.functions.text import allows_any_order, statement_numbers
-from tarn.operators import compare, examples, metrics, programs, rerank, sandbox, store, versions
+from tarn.operators import benchmark, compare, examples, metrics, programs, rerank, sandbox, store, versions
 from tarn.plans.registry import query
 from tarn.plans.texts import _rows
 
@@ -49,6 +49,9 @@ _SHAPES = {"p_sq": "single-line", "p_dbl": "single-line", "p_rev": "single-line"
 _SIGNED = [(n, _SHAPES.get(n, "unknown"), {"p_tc": 2, "p_sum": 2}.get(n, 0 if _SHAPES.get(n, "unknown") in ("unknown", "functional") else 1), 0 if n in ("p_bad", "p_old") else 1) for n, _ in PROGRAMS]
 
 
+CODE_OF = dict(PROGRAMS)
+
+
 def _statements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATEMENTS, "query_id string, text string")
 
@@ -268,6 +271,32 @@ def goldrun_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.projection(counts.crossJoin(total).select("source_format", (F.col("n") / F.col("total")).alias("share"), (F.col("passed") / F.col("n")).alias("rate")))
 
 
+_OUTCOMES = [("dashed_sample", "PASS", 1), ("leetcode", "wrong_output", 1), ("none", "no_examples", 1)]
+
+
+@query(f"SELECT * FROM ({_rows(_OUTCOMES)}) AS v(source_format, kind, n)")
+def gold_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs run on the examples of their statements, outcomes by layout."""
+    gold = spark.createDataFrame([("st1", CODE_OF["p_sq"]), ("st3", CODE_OF["p_exit"]), ("st5", CODE_OF["p_sq"])], "query_id string, code string")
+    s = examples.with_examples(_statements(spark)).join(F.broadcast(gold), "query_id")
+    v = sandbox.verify_pairs(s.select("query_id", F.col("query_id").alias("doc_id"), "code", "examples", F.lit(False).alias("any_order")))
+    return benchmark.gold_run(v, s)
+
+
+_ROLES = [
+    ("a", 1, 1, "x", 1, 1, 0.5, "good"), ("a", 2, 2, "x", 1, 1, 0.5, "cosmetic"), ("a", 3, 3, "y", 1, 1, 0.9, "faulty"),
+    ("b", 1, 3, "z", 1, 1, 0.5, "good"), ("b", 2, 2, "q", 0, 1, 0.4, "cosmetic"), ("b", 3, 1, "z", 0, 1, 0.3, "faulty"),
+]
+
+
+@query(f"""WITH v AS (SELECT * FROM ({_rows(_ROLES)}) AS r(q, idx, rank, digest, passed, total, blended, role)), e AS (SELECT q, max(digest) FILTER (role = 'good') AS g, max(digest) FILTER (role = 'cosmetic') AS c, max(digest) FILTER (role = 'faulty') AS f,
+  bool_or(passed = total) FILTER (role = 'faulty') AS both_pass, arg_min(role <> 'faulty', rank) AS first, arg_max(role <> 'faulty', blended * 1000 + idx) AS sim, arg_max(role <> 'faulty', idx) AS age FROM v GROUP BY q)
+SELECT count(*) AS n, round(avg(CAST(g = c AS DOUBLE)), 5) AS certified_unchanged, round(avg(CAST(g <> f AS DOUBLE)), 5) AS fault_differs, round(avg(CAST(first AS DOUBLE)), 5) AS working_first,
+  round(avg(CAST(first AS DOUBLE)) FILTER (both_pass), 5) AS working_first_both_pass, round(avg(CAST(sim AS DOUBLE)), 5) AS similarity_only, round(avg(CAST(age AS DOUBLE)), 5) AS newest_first FROM e""")
+def version_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.version_rates(spark.createDataFrame(_ROLES, "query_id string, idx int, rank int, digest string, passed int, total int, blended double, role string"))
+
+
 _RUNGS = [("r0", None, 0.56825), ("r1", "r0", None), ("r2", "r0", 0.87122), ("r3", "r2", 0.88224), ("r4", "r3", 0.88741)]
 
 

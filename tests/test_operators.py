@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import text
-from tarn.operators import compare, dense, examples, metrics, mining, programs, rerank, sandbox, store, versions
+from tarn.operators import benchmark, compare, dense, examples, metrics, mining, programs, rerank, sandbox, store, versions
 from tarn.plans.engine import Engine
 from tarn.plans.fixtures import COMPARED, PAIR_SUM, PROGRAMS, _REASONS
 
@@ -63,6 +63,14 @@ def test_trace_and_repair():
     assert programs.entry_point("class Solution:\n    def help(self): pass\n    def go(self): return self.help()") == {"cls": "Solution", "names": ["go", "help"]}
 
 
+def test_faulty_and_cosmetic_versions():
+    code = "n = int(input())\nfor i in range(n):\n    if i <= 3:\n        print(i + 1)\n"
+    changed = {benchmark.faulty(code, s) for s in range(30)}
+    assert len(changed) > 2 and code not in changed and all(programs.runnable(c)[0] for c in changed)
+    assert benchmark.faulty("x = 5", 1) is None
+    assert store.normalised(benchmark.cosmetic(code, 3)) == store.normalised(code)
+
+
 def test_probes_keep_the_layout():
     got = versions.probes("3\n1 2\n3 4\n5 6\n")
     assert len(got) == 8 and got[0] == "3\n1 2\n3 4\n5 6\n"

@@ -163,6 +163,20 @@ def with_log_mass(docs: DataFrame, bank: DataFrame, temperature: float = 50.0, v
     return _against(docs, bank, vec, block, {"log_mass": "double"}, mass)
 
 
+def best_similarity(docs: DataFrame, queries: DataFrame, digits: int = 12, block: int = BLOCK) -> DataFrame:
+    """(doc_id, best): each document's largest similarity to any query."""
+    rows, parts = docs.select("doc_id", "vec"), []
+    for part in _blocks(queries.select("query_id", "vec"), "query_id", block):
+        if part.limit(1).count():
+            parts.append(_against(rows, part, "vec", block, {"best": "double"}, lambda sims: [rounded(sims, digits).max(axis=1)]).select("doc_id", "best"))
+    if not parts:
+        return rows.select("doc_id", F.lit(None).cast("double").alias("best")).limit(0)
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p)
+    return together.groupBy("doc_id").agg(F.max("best").alias("best"))
+
+
 def inverted_softmax(queries: DataFrame, docs: DataFrame, bank: DataFrame, k: int, temperature: float = 50.0) -> DataFrame:
     """The k best documents of each query by similarity, with `log_score`: for documents that are the best of some
     query, the log of the dynamic inverted softmax, brought to the largest raw similarity among them; for others the log
@@ -171,8 +185,9 @@ def inverted_softmax(queries: DataFrame, docs: DataFrame, bank: DataFrame, k: in
     hubs = found.where("rank = 1").select("doc_id").distinct()
     massed = with_log_mass(docs.join(hubs, "doc_id", "left_semi"), bank, temperature).select("doc_id", "log_mass")
     # only documents that lead some query are normalised, so the scale is taken over all queries' pairs with them
-    pairs = topk(queries, docs.join(hubs, "doc_id", "left_semi"), 1 << 30, digits=12).join(massed, "doc_id")
-    scale = pairs.agg(F.max("score").alias("top"), F.max(F.col("score") * temperature - F.col("log_mass")).alias("mass"))
+    # and for one document the largest similarity gives the largest value, so one row a document and block is enough
+    best = best_similarity(docs.join(hubs, "doc_id", "left_semi"), queries).join(massed, "doc_id")
+    scale = best.agg(F.max("best").alias("top"), F.max(F.col("best") * temperature - F.col("log_mass")).alias("mass"))
     joined = found.join(massed, "doc_id", "left").crossJoin(F.broadcast(scale))
     log = F.when(F.col("log_mass").isNotNull(), F.col("score") * temperature - F.col("log_mass") + F.log("top") - F.col("mass")).when(F.col("score") > 0, F.log("score"))
     return joined.select("query_id", "doc_id", F.round("score", DIGITS).alias("score"), "rank", F.round(log, DIGITS).alias("log_score"))

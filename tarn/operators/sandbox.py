@@ -1,7 +1,7 @@
 """Runs candidate programs on worked examples, resource-limited but not isolated from network or file system.
 
 Each run is a child process with limits on wall clock, CPU seconds, memory and file size, in a temporary folder with an
-empty environment. Verification is a mapInPandas over pairs of query and program. Pairs are dealt by a program's code and
+empty environment. Each Python worker keeps one process that has the usual modules loaded and forks a child for each run. Verification is a mapInPandas over pairs of query and program. Pairs are dealt by a program's code and
 a number, so a program that many queries ask for is spread over tasks; within a task a program's pairs follow one another
 in a fixed order, and it gets less time after two timeouts and none after four.
 """
@@ -12,7 +12,6 @@ import functools
 import hashlib
 import json
 import os
-import select
 import signal
 import subprocess
 import sys
@@ -29,7 +28,6 @@ from tarn.operators.compare import compare
 from tarn.operators.programs import entry_point, runnable
 
 SECONDS, REDUCED, REDUCE_AT, SKIP_AT = 0.75, 0.30, 2, 4
-START_SECONDS = 10.0
 MEMORY_MB, CAPTURED, FILE_BYTES = 1024, 1 << 20, 32 << 20
 
 
@@ -52,6 +50,30 @@ def _prepared(code: str) -> tuple[str | None, str | None, dict | None]:
     return source, error, entry_point(source) if source is not None else None
 
 
+_server: list[subprocess.Popen] = []
+
+
+def _ask(job: dict) -> dict:
+    """The answer of this worker's forking process, which is started when there is none; one that has died is replaced once."""
+    request = (json.dumps(job) + "\n").encode()
+    for attempt in (0, 1):
+        if not _server or _server[0].poll() is not None:
+            path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "child.py")
+            env = {"PYTHONIOENCODING": "utf-8", "PYTHONHASHSEED": "0"}
+            _server[:] = [subprocess.Popen([sys.executable, "-I", "-S", path], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)]
+        try:
+            _server[0].stdin.write(request)
+            _server[0].stdin.flush()
+            if line := _server[0].stdout.readline():
+                return json.loads(line)
+        except (BrokenPipeError, OSError):
+            if attempt:
+                raise
+        _server[0].kill()
+        _server[0].wait()
+    raise RuntimeError("the process that runs programs ended twice")
+
+
 def run(code: str, stdin: str, expected: str | None = None, any_order: bool = False, seconds: float = SECONDS, trace: bool = False, memory_mb: int = MEMORY_MB) -> Run:
     """One run of a program; with an expected output, whether that came."""
     source, error, entry = _prepared(code)
@@ -59,40 +81,28 @@ def run(code: str, stdin: str, expected: str | None = None, any_order: bool = Fa
         return Run("syntax_error", error=error)
     with tempfile.TemporaryDirectory(prefix="tarn-run-") as folder:
         at = lambda name: os.path.join(folder, name)
-        reads, writes = os.pipe()
-        job = {"ready": writes, "code": source, "stdin": stdin, "entry": entry, "trace": trace, "memory": memory_mb << 20, "cpu": int(seconds) + 1, "file": FILE_BYTES, "out": at("result")}
-        for name, content in (("job", json.dumps(job)), ("in", stdin)):
-            with open(at(name), "w", encoding="utf-8", errors="replace") as f:
-                f.write(content)
+        with open(at("in"), "w", encoding="utf-8", errors="replace") as f:
+            f.write(stdin)
         os.mkdir(at("cwd"))
-        with open(at("in"), "rb") as fin, open(at("out"), "wb") as fout:
-            child = subprocess.Popen(
-                [sys.executable, "-I", "-S", os.path.join(os.path.dirname(os.path.abspath(__file__)), "child.py"), at("job")],
-                stdin=fin, stdout=fout, stderr=subprocess.DEVNULL, cwd=at("cwd"), env={"PYTHONIOENCODING": "utf-8", "PYTHONHASHSEED": "0"}, start_new_session=True, pass_fds=(writes,))
-            os.close(writes)
-            select.select([reads], [], [], START_SECONDS)  # the interpreter's own start isn't the program's time
-            os.close(reads)
-            began = time.monotonic()
-            try:
-                child.wait(seconds)
-                late = False
-            except subprocess.TimeoutExpired:
-                late = True
-            try:
-                os.killpg(child.pid, signal.SIGKILL)  # with whatever it has started
-            except ProcessLookupError:
-                pass
-            child.wait()
+        job = {
+            "code": source, "stdin": stdin, "entry": entry, "trace": trace, "memory": memory_mb << 20, "cpu": int(seconds) + 1, "file": FILE_BYTES, "seconds": seconds,
+            "in": at("in"), "stdout": at("out"), "cwd": at("cwd"), "out": at("result"),
+        }
+        began = time.monotonic()
+        ended = _ask(job)
         took = (time.monotonic() - began) * 1000
-        with open(at("out"), "rb") as f:
-            stdout = f.read(CAPTURED).decode("utf-8", "replace")
-        if late or child.returncode == -signal.SIGXCPU:
+        try:
+            with open(at("out"), "rb") as f:
+                stdout = f.read(CAPTURED).decode("utf-8", "replace")
+        except FileNotFoundError:
+            stdout = ""
+        if ended["late"] or ended["signal"] == signal.SIGXCPU:
             return Run("timeout", stdout, "timeout", "script", runtime_ms=took)
         try:
             with open(at("result")) as f:
                 said = json.load(f)
         except (OSError, ValueError):
-            said = {"mode": "script", "error": f"exit {child.returncode}", "values": None}
+            said = {"mode": "script", "error": f"ended by signal {ended['signal']}", "values": None}
     values = tuple(said["values"]) if said["values"] is not None else None
     if said["error"] is not None:
         return Run("error", stdout, said["error"], said["mode"], runtime_ms=took, values=values)

@@ -33,6 +33,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the checkpoint folder and read again; the files go when the driver ends.
+
+    For tables of many rows, which this keeps several times smaller than a checkpoint."""
+    import uuid
+
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpoint(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/tarn-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 500
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that few texts are Python objects at once; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def remainder(doc_id: int | None, modulus: int) -> int:
     """crc32 of the id's decimal text modulo modulus; a null id counts as an empty text (0)."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
@@ -58,10 +86,9 @@ def map_texts(df: DataFrame, columns: list[str], per_batch: Callable[[pa.RecordB
     arrow = _arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = per_batch(batch)
-                yield pa.RecordBatch.from_arrays([_array(values[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in sliced(batches):
+            values = per_batch(batch)
+            yield pa.RecordBatch.from_arrays([_array(values[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -125,9 +125,9 @@ e AS (SELECT *, coalesce(first_token_int > 0 AND n_lines - 1 = first_token_int,
 shape AS (SELECT *, coalesce(first_token_int >= 1 AND first_token_int < n_lines - 1 AND (n_lines - 1) % greatest(first_token_int, 1) = 0 AND NOT n_then_n_lines, false) AS multi_case_t FROM e)"""
 
 
-@query(f"WITH {_SHAPE_SQL} SELECT id, CAST(n_lines AS INT) AS n_lines, CAST(first_line_tokens AS INT) AS first_line_tokens, first_token_int, all_numeric, n_then_n_lines, multi_case_t FROM shape")
+@query(f"WITH {_SHAPE_SQL} SELECT id, CAST(n_lines AS INT) AS n_lines, CAST(first_line_tokens AS INT) AS first_line_tokens, CAST(first_token_int AS VARCHAR) AS first_token_int, all_numeric, n_then_n_lines, multi_case_t FROM shape")
 def example_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(INPUTS, "id int, t string").withColumn("s", shapes.example_shape(F.col("t"))).select("id", "s.*")
+    return spark.createDataFrame(INPUTS, "id int, t string").withColumn("s", shapes.example_shape(F.col("t"))).select("id", "s.*").withColumn("first_token_int", F.col("first_token_int").cast("string"))
 
 
 def _signature_rows() -> str:
@@ -274,7 +274,7 @@ def goldrun_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTCOMES = [("dashed_sample", "PASS", 1), ("leetcode", "wrong_output", 1), ("none", "no_examples", 1)]
 
 
-@query(f"SELECT * FROM ({_rows(_OUTCOMES)}) AS v(source_format, kind, n)")
+@query(f"SELECT source_format, kind, CAST(n AS BIGINT) AS n FROM ({_rows(_OUTCOMES)}) AS v(source_format, kind, n)")
 def gold_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Programs run on the examples of their statements, outcomes by layout."""
     gold = spark.createDataFrame([("st1", CODE_OF["p_sq"]), ("st3", CODE_OF["p_exit"]), ("st5", CODE_OF["p_sq"])], "query_id string, code string")

@@ -216,7 +216,7 @@ def code_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHANGES = [(0, "a", "A", "1"), (0, "b", "A", "1"), (1, "a", "M", "2"), (2, "b", "D", None), (4, "b", "A", "3")]
 
 
-@query(f"WITH c(i, path, status, code) AS ({_rows(_CHANGES)}), n AS (SELECT *, lead(i) OVER (PARTITION BY path ORDER BY i) AS nx FROM c) SELECT s AS snapshot_index, path, code FROM n, unnest(range(i, coalesce(nx, 6))) AS u(s) WHERE status <> 'D'")
+@query(f"WITH c(i, path, status, code) AS ({_rows(_CHANGES)}), n AS (SELECT *, lead(i) OVER (PARTITION BY path ORDER BY i) AS nx FROM c) SELECT CAST(s AS INT) AS snapshot_index, path, code FROM n, unnest(range(i, coalesce(nx, 6))) AS u(s) WHERE status <> 'D'")
 def git_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture: listings of six commits from their changes, with a deletion and an addition after it."""
     commits = spark.range(6).select(F.col("id").cast("int").alias("snapshot_index"))

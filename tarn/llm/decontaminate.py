@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, sha256, table
+from tarn.llm.common import _arrow_schema, sha256, sliced, table
 
 WINDOW, K = 10, 6
 #: Words of the benchmark in one broadcast block; about 200 MB of index at most.
@@ -159,7 +159,7 @@ def _match(spark: SparkSession, rows: DataFrame, index: BenchmarkIndex, merge: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words = words_of(text)
@@ -188,7 +188,7 @@ def _without_hits(docs: DataFrame, index: BenchmarkIndex, text: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([not index.hits(words_of(t))[1] for t in texts], pa.bool_()))
 

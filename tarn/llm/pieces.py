@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, sha256, table
+from tarn.llm.common import _arrow_schema, sha256, sliced, table
 
 SPACE = "▁"
-MEMO = 200_000
+MEMO = 80_000
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -211,19 +211,17 @@ def encode(docs: DataFrame, model: str | None = None, doc: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model or default_model())
         decimal = [str(i) for i in range(own.sp.get_piece_size())]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                rows = []
-                for doc_id, t, ids in zip(part.column(0).to_pylist(), texts, own.encode(texts), strict=True):
-                    spans, decoded = own.spans(t, ids), own.sp.decode(ids) if ids else ""
-                    if digests:
-                        rows.append((doc_id, len(ids), sha256(",".join([decimal[i] for i in ids]).encode()), sha256(decoded.encode()), sha256(spans.astype("<i8").tobytes())))
-                    else:
-                        rows.append((doc_id, len(ids), ids, spans[:, 0], spans[:, 1], decoded))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        for part in sliced(batches):
+            texts = ["" if t is None else t for t in part.column(1).to_pylist()]
+            rows = []
+            for doc_id, t, ids in zip(part.column(0).to_pylist(), texts, own.encode(texts), strict=True):
+                spans, decoded = own.spans(t, ids), own.sp.decode(ids) if ids else ""
+                if digests:
+                    rows.append((doc_id, len(ids), sha256(",".join([decimal[i] for i in ids]).encode()), sha256(decoded.encode()), sha256(spans.astype("<i8").tobytes())))
+                else:
+                    rows.append((doc_id, len(ids), ids, spans[:, 0], spans[:, 1], decoded))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, checkpoint, sha256, table
+from tarn.llm.common import _arrow_schema, checkpoint, sha256, sliced, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -266,7 +266,7 @@ def detect(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     arrow = _arrow_schema(_parse_datatype_string(schema))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             both = [find(t) for t in batch.column(1).to_pylist()]
             base = [[{"kind": k, "s": s, "e": e, "pattern": None} for k, s, e in b] for b, _ in both]
             found = [[{"kind": k, "s": s, "e": e, "pattern": p} for k, s, e, p in f] for _, f in both]
@@ -278,7 +278,7 @@ def detect(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFram
     result = _arrow_schema(_parse_datatype_string(out))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, b, f in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 base = [(x["kind"], x["s"], x["e"]) for x in b]
@@ -307,14 +307,14 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     """docs with personal data replaced in their texts; a column n_chars, if there is one, is counted again."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [[c[3] for c in find(t)[1]] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p for f in found for p in f], pa.string())], names=["pattern"])
 
     accepted = learn(docs.select(text).mapInArrow(scan, "pattern string"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             new = [redacted(t, accepted) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             columns = [pa.array(new, f.type) if f.name == text else c for f, c in zip(batch.schema, batch.columns, strict=True)]
             if n_chars in batch.schema.names:

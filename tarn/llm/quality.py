@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_texts, remainder, remainder_column, table
+from tarn.llm.common import map_texts, remainder, sliced, remainder_column, table
 
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 256, 32, 8, 2, 8, 16
 SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE, SEED = 3000, 40_000, 8, 32, 0.01, 7
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, model: ByteConvNet | Constant, threshold: float =
         def chosen(batches):  # noqa: ANN001, ANN202
             model = shared.value
             tables = model.tables()
-            for batch in batches:
+            for batch in sliced(batches):
                 score = model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), tables)
                 yield batch.filter(pa.array(score >= threshold))
 

@@ -149,7 +149,7 @@ class _Counters:
         self.over = self.over[which]
 
 
-def sliced_links(groups: list[np.ndarray], radius: int = RADIUS, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sliced_links(groups: list[np.ndarray], radius: int = RADIUS, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs (i, j), i < j, as places in the groups' concatenation; pairs of different groups aren't compared.
 
     A group is an array of fingerprints, or of rows of fingerprint words."""

@@ -76,10 +76,10 @@ def segments(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     )
     ordered = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     sizes = F.transform("ts", lambda t: F.length(t["head"]) + F.length(t["content"]) + len(END))
-    ordered = ordered.withColumn("sizes", sizes)
-    placed = F.transform("ts", lambda t, i: F.struct(
-        (F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, n: a + n) + F.length(t["head"])).alias("start"),
+    place = lambda s: F.transform("ts", lambda t, i: F.struct(
+        (F.aggregate(F.slice(s, F.lit(1), i), F.lit(0), lambda a, n: a + n) + F.length(t["head"])).alias("start"),
         F.length(t["content"]).alias("length"), t["role"].isin(*loss_roles).alias("loss")))
+    placed = F.get(F.transform(F.array(sizes), place), F.lit(0))  # bound to a name, the sizes are worked out once
     return ordered.select(
         "conv_id", "segment",
         F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["content"], F.lit(END))), "").alias("formatted"),

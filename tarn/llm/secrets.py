@@ -167,16 +167,20 @@ def located(text: Column, rule: Rule, order: int) -> Column:
     """The rule's spans in a text: array of (start, order, end, kind)."""
     pattern = F.lit(rule.regex)
     matches, kept = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    gaps = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
-    sizes = F.transform(matches, lambda x: F.length(x))
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
     add = lambda a, n: a + n
-    spans = F.transform(
-        F.arrays_zip(sizes.alias("n"), kept.alias("g")),
-        lambda z, i: F.struct(
-            (F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), add) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), add)).alias("start"),
-            z["n"].alias("n"), F.length(z["g"]).alias("g")),
-    )
-    kept_spans = F.filter(spans, lambda s: s["g"] >= rule.least)
+    found = F.struct(lengths(F.split(text, rule.regex, -1)).alias("gaps"), lengths(matches).alias("sizes"), lengths(kept).alias("kept"))
+
+    def placed(f: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(f["sizes"].alias("n"), f["kept"].alias("g")),
+            lambda z, i: F.struct(
+                (F.aggregate(F.slice(f["gaps"], F.lit(1), i + 1), F.lit(0), add) + F.aggregate(F.slice(f["sizes"], F.lit(1), i), F.lit(0), add)).alias("start"),
+                z["n"].alias("n"), z["g"].alias("g")),
+        )
+
+    # bound to a lambda's name, the lengths are worked out once and not for each match
+    kept_spans = F.filter(F.get(F.transform(F.array(found), placed), F.lit(0)), lambda s: s["g"] >= rule.least)
     return F.transform(kept_spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), (s["start"] + s["n"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
 

@@ -115,7 +115,7 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pool = _demoted(spark, sf_dir)
+    pool = _demoted(spark, sf_dir).persist()  # margins, candidates and the pool's range all come from it
     return pool, rerank.gated(pool, rerank.margins(pool), TAU, BASE, EXTEND)
 
 
@@ -234,7 +234,7 @@ x AS (SELECT tau, count(DISTINCT query_id) AS extended FROM margin, grid WHERE m
 SELECT tau, round(avg(ndcg), 5) AS ndcg, coalesce(any_value(extended), 0) AS extended FROM each LEFT JOIN x USING (tau) GROUP BY tau""")
 def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the widest gate, restricted to each narrower one."""
-    pool = _demoted(spark, sf_dir)
+    pool = _demoted(spark, sf_dir).persist()
     grid, margin = _grid(spark, "tau", TAUS), rerank.margins(pool)
     rows = pool.join(margin, "query_id", "left").crossJoin(grid)
     uncertain = F.coalesce(F.col("margin") < F.col("tau"), F.lit(False))

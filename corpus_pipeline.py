@@ -46,7 +46,7 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: A trained classifier, estimated similarity and a tokenizer have no SQL; tests hold the stages against brute force.
+#: A trained classifier, a search by fingerprints and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -13,10 +13,13 @@ counted together: the differing planes go through carry-save adders into bit-sli
 64 distances are beyond the radius are abandoned. A group passes on a spanning forest of its links, which joins
 what the links join; components are found over distinct fingerprints.
 
-For similarity thresholds that 64 bits can't resolve, `similar` uses fingerprints of WIDE words of 64 bits over distinct
-shingles. Bits differ in the share acos(cosine) / pi of places, which turns a resemblance (Jaccard) into a radius; as
-that radius is far too large for blocks, candidates share one of several keys of sampled bits, whose number gives the
-wanted recall at the threshold. Chunks, planes, counters and components are the same.
+For similarity thresholds that 64 bits can't resolve, `similar` only searches with fingerprints: WIDE words of 64 bits
+over distinct shingles. Bits differ in the share acos(cosine) / pi of places, which turns a resemblance (Jaccard) into a
+radius, taken some deviations wider; as that is far too large for blocks, candidates share one of several keys of sampled
+bits, whose number gives the wanted recall at the threshold. Chunks, planes and counters are the same. A candidate pair
+is a link only if its texts' whole shingle sets (64-bit hashes) have the similarity. Texts of equal sets are one node.
+A first pass over few keys checks a spanning forest of close pairs; the second, over all keys, checks every candidate
+pair that what is linked so far doesn't join.
 
 Defined cases: a null, empty or wordless text has fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; rows that repeat each get a row; a null id never names a component unless all its ids are null.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpoint, map_texts, table
+from tarn.llm.common import checkpoint, map_texts, stored, table
 from tarn.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -43,8 +46,11 @@ HOT_KEYS = 200_000
 _SLICE = 1 << 15
 
 
-#: 64-bit words of a wide fingerprint, and the recall of its candidate search at the threshold.
-WIDE, RECALL = 4, 0.98
+#: 64-bit words of a wide fingerprint, and the recall of its candidate search over pairs at the threshold.
+WIDE, RECALL = 4, 0.995
+#: Standard deviations that the candidate radius is wider than expected; sets up to FEW shingles differ in more bits than
+#: the angle says, as ties are zeros. Keys of the first pass, and deviations that its radius is narrower.
+WIDER, FEW, WIDER_FEW, FIRST_KEYS, NARROWER = 3, 32, 4.5, 4, 1.5
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -56,18 +62,24 @@ def fingerprint_words(text: str | None, shingle: int, words: int, distinct: bool
     """The fingerprint's words; the first comes from XXH64, the others from its values mixed on.
 
     distinct: each shingle counts once."""
+    h = shingle_hashes(text, shingle)
+    return _set_bits(np.unique(h) if distinct else h, words)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     tokens = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(tokens) - shingle + 1)].tolist()
     ends = ends[min(shingle, len(tokens)) - 1 :].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
-    if distinct:
-        hashes = np.unique(hashes)
+    return np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def _set_bits(hashes: np.ndarray, words: int) -> list[int]:
     out = []
     for word in range(words):
         h = hashes if not word else _mixed(hashes, word)
@@ -91,16 +103,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, the columns of extra (bigint) and fp0, fp1, ..., the fingerprint's words as signed numbers."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None) -> DataFrame:
+    """doc_id, the columns of extra (bigint) and fp0, the fingerprint as a signed number."""
     rows = docs.select(F.col(doc).alias("doc_id"), *(extra or []), F.col(text).alias("text"))
     names = [c for c in rows.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> dict:
-        prints = [fingerprint_words(t, shingle, words, distinct) for t in batch.column("text").to_pylist()]
-        return {n: batch.column(n) for n in names} | {f"fp{w}": [_signed(p[w]) for p in prints] for w in range(words)}
+        return {n: batch.column(n) for n in names} | {"fp0": [_signed(fingerprint(t, shingle)) for t in batch.column("text").to_pylist()]}
+
+    return map_texts(rows, rows.columns, run, ", ".join(f"{n} bigint" for n in names) + ", fp0 bigint")
+
+
+def _node(shingles: np.ndarray) -> int:
+    """A set's name: 64 bits of its hash."""
+    from xxhash import xxh64_intdigest
+
+    return _signed(xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, doc: str, text: str, extra: list[Column]) -> DataFrame:
+    """doc_id, the columns of extra (bigint), the distinct shingles' node and number, and their fingerprint's words."""
+    rows = docs.select(F.col(doc).alias("doc_id"), *extra, F.col(text).alias("text"))
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = []
+        for t in batch.column("text").to_pylist():
+            h = np.unique(shingle_hashes(t, shingle))
+            found.append((_node(h), len(h), *map(_signed, _set_bits(h, WIDE))))
+        columns = zip(*found, strict=True) if found else [()] * (2 + WIDE)
+        return {n: batch.column(n) for n in names} | dict(zip(["node", "n", *[f"fp{w}" for w in range(WIDE)]], map(list, columns), strict=True))
 
-    return map_texts(rows, rows.columns, run, ", ".join(f"{n} bigint" for n in names) + "".join(f", fp{w} bigint" for w in range(words)))
+    return map_texts(rows, rows.columns, run, "".join(f"{n} bigint, " for n in names) + "node bigint, n bigint" + "".join(f", fp{w} bigint" for w in range(WIDE)))
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------------
@@ -228,6 +262,25 @@ def forest(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray,
     return moved, parent[moved]
 
 
+def spanning(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what all links of a group join, as places in the groups' concatenation; at most one a row."""
+    parent = np.arange(sum(map(len, groups)))
+    kept: list[tuple[np.ndarray, np.ndarray]] = [(parent[:0], parent[:0])]
+    for i, j in sliced_links(groups, radius):
+        while True:
+            a, b = parent[i], parent[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            parent[high] = np.minimum(a, b)[first]
+            kept.append((i[first], j[first]))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+    return np.concatenate([i for i, _ in kept]), np.concatenate([j for _, j in kept])
+
+
 # --- candidates ------------------------------------------------------------------------------------------------------
 
 
@@ -242,27 +295,55 @@ def layout(radius: int, n: int, chunk: int = CHUNK) -> list[int]:
     raise AssertionError
 
 
-def bands(radius: int, words: int, n: int, recall: float = RECALL, seed: int = 1) -> list[list[int]]:
-    """Bit numbers of each key: so many keys that fingerprints at the radius share one with probability recall.
+def _share(similarity: float) -> float:
+    """The share of bits in which two texts differ, given the Jaccard similarity of their shingle sets. Sets of equal
+    number differ most."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def bands(similarity: float, words: int, n: int, recall: float = RECALL, seed: int = 1) -> list[list[int]]:
+    """Bit numbers of each key: so many keys that of all pairs of the similarity the share recall has one in common.
 
     The keys' length follows the number of fingerprints, so that buckets stay small."""
+    size, share = 64 * words, _share(similarity)
     bits = max(12, math.ceil(math.log2(max(1, n) / 512)))
-    share = (1 - radius / (64 * words)) ** bits
+    apart = [math.comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size)]
+    keys = 1
+    while sum(p * (1 - (1 - d / size) ** bits) ** keys for d, p in enumerate(apart)) > 1 - recall:
+        keys += 1
     r = np.random.default_rng(seed)
-    return [sorted(r.choice(64 * words, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
+    return [sorted(r.choice(size, bits, replace=False).tolist()) for _ in range(keys)]
+
+
+def radius_of(similarity: float, words: int, deviations: float) -> int:
+    """Bits in which texts of the similarity are expected to differ, and some standard deviations more."""
+    n, share = 64 * words, _share(similarity)
+    return max(0, round(n * share + deviations * math.sqrt(n * share * (1 - share))))
 
 
-def radius_of(similarity: float, words: int) -> int:
-    """Differing bits of two texts of a given Jaccard similarity of their shingles (of about equal number): those
-    expected and half a standard deviation more, so that most texts at the threshold are within."""
-    n, share = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+def keyed_by_masks(classes: DataFrame, keys: list[Column]) -> DataFrame:
+    """classes with t and key, a row for each of the keys."""
+    return classes.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])).alias("k")).select(*classes.columns, "k.t", "k.key")
 
 
-def linked(classes: DataFrame, keys: list[Column], radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between classes (node, fp0, ...) that join exactly what links inside equal keys join."""
-    prints = [c for c in classes.columns if c.startswith("fp")]
-    keyed = classes.select("node", *prints, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])).alias("k")).select("node", *prints, "k.t", "k.key")
+def keyed_by_bits(classes: DataFrame, bits: list[list[int]]) -> DataFrame:
+    """The same, each key the fingerprint's bits of some numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = {w: batch.column(f"fp{w}").to_numpy(zero_copy_only=False).view(np.uint64) for w in range(WIDE)}
+            for t, places in enumerate(bits):
+                key = np.zeros(batch.num_rows, np.uint64)
+                for i, b in enumerate(places):
+                    key |= (prints[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(i)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64))], names=[*batch.schema.names, "t", "key"])
+
+    return classes.mapInArrow(run, ", ".join(f"{c} bigint" for c in classes.columns) + ", t int, key bigint")
+
+
+def grouped(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """of: lists of classes (structs of their columns) with an equal key; every two of these share some list."""
+    columns = [c for c in keyed.columns if c not in ("t", "key")]
     hot = keyed.groupBy("t", "key").count().where(F.col("count") > chunk)
     hot = checkpoint(hot.select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
     if hot.count() <= HOT_KEYS:
@@ -270,26 +351,78 @@ def linked(classes: DataFrame, keys: list[Column], radius: int, chunk: int = CHU
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
-    dealt = keyed.join(hot, ["t", "key"], "left").select("t", "key", "node", *prints, F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
-    groups = dealt.groupBy("t", "key", "p.lo", "p.hi").agg(F.collect_list(F.struct("node", *prints)).alias("of")).where(F.size("of") > 1).select("of")
+    dealt = keyed.join(hot, ["t", "key"], "left").select("t", "key", *columns, F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
+    return dealt.groupBy("t", "key", "p.lo", "p.hi").agg(F.collect_list(F.struct(*columns)).alias("of")).where(F.size("of") > 1).select("of")
+
+
+def _some_groups(batches: Iterator[pa.RecordBatch], rows: int = 16384) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The groups' columns, some thousands of rows at a time, and where each group ends among them (from 0)."""
+    for batch in batches:
+        lists = batch.column(0)
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        columns = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + rows, side="right")) - 1)
+            yield [c[offsets[at] : offsets[upto]] for c in columns], offsets[at : upto + 1] - offsets[at]
+            at = upto
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def linked(keyed: DataFrame, radius: int, chunk: int = CHUNK, trees=forest) -> DataFrame:  # noqa: ANN001
+    """Edges (a, b) between classes (node, fp0, ..., t, key) that join exactly what links inside equal keys join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            columns = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(1 + len(prints))]
-            nodes, values = columns[0], np.stack(columns[1:], axis=1).view(np.uint64)
-            at = 0
-            while at < batch.num_rows:  # some thousands of fingerprints at a time
-                upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 16384, side="right")) - 1)
-                a, b = forest([values[offsets[k] : offsets[k + 1]] for k in range(at, upto)], radius)
-                if len(a):
-                    first = offsets[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[first + a]), pa.array(nodes[first + b])], names=["a", "b"])
-                at = upto
-
-    return groups.mapInArrow(run, "a bigint, b bigint")
+        for (nodes, *prints), ends in _some_groups(batches):
+            values = np.stack(prints, axis=1).view(np.uint64)
+            a, b = trees([values[s:e] for s, e in itertools.pairwise(ends)], radius)
+            if len(a):
+                yield _edges(nodes[a], nodes[b])
+
+    return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint")
+
+
+def candidates(keyed: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Distinct pairs (a, b) of classes (node, root, n, fp0, ..., t, key) of different roots that share a key, are within the
+    radius and whose numbers n of shingles allow the similarity."""
+    radius, few = radius_of(similarity, WIDE, WIDER), radius_of(similarity, WIDE, WIDER_FEW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (nodes, roots, n, *prints), ends in _some_groups(batches):
+            values = np.stack(prints, axis=1).view(np.uint64)
+            which = [np.arange(s, e) for s, e in itertools.pairwise(ends) if (roots[s:e] != roots[s]).any()]
+            place = np.concatenate(which) if which else None
+            for i, j in sliced_links([values[w] for w in which], few):
+                i, j = place[i], place[j]
+                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                may = (roots[i] != roots[j]) & (low >= similarity * high - 1e-6)
+                i, j, high = i[may], j[may], high[may]
+                near = (high <= FEW) | (np.bitwise_count(values[i] ^ values[j]).sum(axis=1) <= radius)
+                if near.any():
+                    a, b = nodes[i[near]], nodes[j[near]]
+                    yield _edges(np.maximum(a, b), np.minimum(a, b))
+
+    return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have at least the similarity; classes: (node, _at), _at a row of
+    texts (_at, text) with the node's set."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = texts.join(nodes.join(classes.select("node", "_at"), "node").select("_at"), "_at", "left_semi")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+        return {"node": [_node(h) for h in found], "of": [h.view(np.int64) for h in found]}
+
+    sets = stored(map_texts(wanted, ["text"], run, "node bigint, of array<bigint>"))
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("of").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("of").alias("of_b")), "b")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return met.where(both / (F.size("of_a") + F.size("of_b") - both) >= F.lit(similarity)).select("a", "b")
 
 
 def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -307,23 +440,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = checkpoint(fingerprints(docs, shingle, doc, text, extra).withColumn("node", F.col("fp0")))
     classes = checkpoint(prints.groupBy("node", "fp0").agg(F.min(least).alias("least")))
     keys = [F.col("fp0").bitwiseAND(F.lit(m)) for m in layout(radius, classes.count(), chunk)]
-    return _named(prints, classes, linked(classes.select("node", "fp0"), keys, radius, chunk))
+    return _named(prints, classes, linked(keyed_by_masks(classes.select("node", "fp0"), keys), radius, chunk))
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, least: str = "doc_id") -> DataFrame:
-    """The same with wide fingerprints, linked where their estimated similarity of shingle sets is high enough.
-
-    A class is named by 64 bits of its fingerprint's hash."""
-    radius, names = radius_of(similarity, WIDE), [f"fp{w}" for w in range(WIDE)]
-    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra, WIDE, True).withColumn("node", F.xxhash64(*names)))
-    classes = checkpoint(prints.groupBy("node", *names).agg(F.min(least).alias("least")))
-    keys = []
-    for places in bands(radius, WIDE, classes.count()):
-        key = F.lit(0).cast("long")
-        for i, b in enumerate(places):
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(names[b // 64], b % 64).bitwiseAND(F.lit(1).cast("long")), i))
-        keys.append(key)
-    return _named(prints, classes, linked(classes.select("node", *names), keys, radius, chunk))
+    """The same with links between texts whose sets of shingles have the Jaccard similarity; fp0, ... are wide.
+
+    docs must be a stored table: texts to check are read again by their place in it."""
+    names, at = [f"fp{w}" for w in range(WIDE)], F.monotonically_increasing_id().alias("_at")
+    prints = checkpoint(wide_fingerprints(docs, shingle, doc, text, [*(extra or []), at]))
+    classes = checkpoint(prints.groupBy("node", "n", *names).agg(F.min(least).alias("least"), F.min("_at").alias("_at")))
+    texts = docs.select(F.col(text).alias("text"), at)
+    bits = bands(similarity, WIDE, classes.count())
+    close = linked(keyed_by_bits(classes.select("node", *names), bits[:FIRST_KEYS]), radius_of(similarity, WIDE, -NARROWER), chunk, spanning)
+    close = checkpoint(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sure = checkpoint(verified(close, classes, texts, shingle, similarity))
+    roots = components(sure).withColumnRenamed("node", "_node")
+    rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
+    pairs = checkpoint(candidates(keyed_by_bits(rooted.select("node", "root", "n", *names), bits), similarity, chunk))
+    return _named(prints.drop("n", "_at"), classes, sure.unionByName(verified(pairs, classes, texts, shingle, similarity)))
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

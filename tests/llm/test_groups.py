@@ -116,6 +116,32 @@ def test_similar_texts_keep_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 10, 20, 30, 40, 50, 60, 70, 500]
 
 
+def test_similarity_is_exact(spark):
+    """Pairs of similarity 0.75 to 0.85 (and lower), chains, short texts: what stays is what brute force over sets says."""
+    r = random.Random(8)
+    rows, sets = [], []
+    for group in range(150):
+        n = r.choice([9, 14, 60, 200, 500])
+        words = [f"g{group}w{i}" for i in range(n)]
+        for _ in range(3):  # a run of new words takes a share of the shingles
+            rows.append(" ".join(words))
+            cut = max(1, round((n - 4) * r.uniform(0.06, 0.2)) - r.choice([0, 0, 4]) if n > 40 else 1)
+            at = r.choice([0, n - cut])
+            words = words[:at] + [f"x{r.random()}" for _ in range(cut)] + words[at + cut :]
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in rows]
+    root = list(range(len(rows)))
+    shares = []
+    for i in range(len(rows)):
+        for j in range(i - i % 3, i):
+            shares.append(len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+            if shares[-1] >= 0.8:
+                root = [root[j] if x == root[i] else x for x in root]
+    assert sum(0.75 <= s < 0.8 for s in shares) > 20 and sum(0.8 <= s < 0.85 for s in shares) > 20
+    want = sorted({x: min(k for k in range(len(rows)) if root[k] == x) for x in root}.values())
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.distinct_documents(df).collect()) == want
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------------
 
 

@@ -123,11 +123,9 @@ def neighbours(queries: DataFrame, docs: DataFrame, low: float, high: float, fir
     return together.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("place") <= first)
 
 
-def _against(docs: DataFrame, bank: DataFrame, vec: str, block: int, columns: dict[str, str], per_block) -> DataFrame:  # noqa: ANN001
-    """docs with columns worked out from their similarities to the bank, which must fit one block."""
+def _against(docs: DataFrame, bank: DataFrame, vec: str, columns: dict[str, str], per_block) -> DataFrame:  # noqa: ANN001
+    """docs with columns worked out from their similarities to one block of the bank."""
     rows = bank.select(F.lit(0), vec).where(F.col(vec).isNotNull())
-    if rows.count() > block:
-        raise ValueError(f"the bank has more than {block} rows; sample it or raise the block")
     shared = docs.sparkSession.sparkContext.broadcast(_collected(rows)[1])
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns) + "".join(f", {c} {t}" for c, t in columns.items())
@@ -142,25 +140,51 @@ def _against(docs: DataFrame, bank: DataFrame, vec: str, block: int, columns: di
     return docs.where(F.col(vec).isNotNull()).mapInArrow(run, schema)
 
 
+def _banks(bank: DataFrame, vec: str, block: int) -> list[DataFrame]:
+    """The bank in blocks that aren't empty; equal vectors are spread too."""
+    rows = bank.select(vec).where(F.col(vec).isNotNull())
+    n = rows.count()
+    if n <= block:
+        return [rows]
+    numbered = rows.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])), f"place bigint, `{vec}` {dict(rows.dtypes)[vec]}")
+    return [numbered.where((F.col("place") >= at) & (F.col("place") < at + block)).select(vec) for at in range(0, n, block)]
+
+
 def with_hubs(docs: DataFrame, bank: DataFrame, k: int = 3, vec: str = "vec", block: int = BLOCK) -> DataFrame:
-    """docs with hub, the mean of each document's k largest similarities to the bank (all, if the bank is smaller)."""
+    """docs with hub, the mean of each document's k largest similarities to the bank (all, if the bank is smaller).
+
+    Of a bank of many blocks a document carries its k largest similarities from one to the next."""
+    parts = _banks(bank, vec, block)
 
-    def mean(sims: np.ndarray) -> list[np.ndarray]:
+    def largest(sims: np.ndarray) -> np.ndarray:
         n = max(1, min(k, sims.shape[1]))
-        return [-np.sort(np.partition(-sims, n - 1, axis=1)[:, :n], axis=1).mean(axis=1)]
+        return -np.sort(np.partition(-sims, n - 1, axis=1)[:, :n], axis=1)
 
-    return _against(docs, bank, vec, block, {"hub": "double"}, mean)
+    if len(parts) == 1:
+        return _against(docs, parts[0], vec, {"hub": "double"}, lambda sims: [largest(sims).mean(axis=1)])
+    out = docs.withColumn("_best", F.array().cast("array<double>"))
+    for part in parts:
+        out = _against(out, part, vec, {"_more": "array<double>"}, lambda sims: [list(largest(sims))])
+        out = out.withColumn("_best", F.slice(F.sort_array(F.concat("_best", "_more"), asc=False), 1, max(1, k))).drop("_more")
+    total = F.aggregate("_best", F.lit(0.0), lambda s, x: s + x)
+    return out.withColumn("hub", total / F.size("_best")).drop("_best")
 
 
 def with_log_mass(docs: DataFrame, bank: DataFrame, temperature: float = 50.0, vec: str = "vec", block: int = BLOCK) -> DataFrame:
     """docs with log_mass, the logarithm of the sum of exp(temperature * similarity) over the bank."""
+    parts = _banks(bank, vec, block)
 
     def mass(sims: np.ndarray) -> list[np.ndarray]:
         x = temperature * sims
         top = x.max(axis=1)
         return [top + np.log(np.exp(x - top[:, None]).sum(axis=1))]
 
-    return _against(docs, bank, vec, block, {"log_mass": "double"}, mass)
+    out = _against(docs, parts[0], vec, {"log_mass": "double"}, mass)
+    for part in parts[1:]:
+        out = _against(out, part, vec, {"_more": "double"}, mass)
+        high, low = F.greatest("log_mass", "_more"), F.least("log_mass", "_more")
+        out = out.withColumn("log_mass", high + F.log1p(F.exp(low - high))).drop("_more")
+    return out
 
 
 def best_similarity(docs: DataFrame, queries: DataFrame, digits: int = 12, block: int = BLOCK) -> DataFrame:
@@ -168,7 +192,7 @@ def best_similarity(docs: DataFrame, queries: DataFrame, digits: int = 12, block
     rows, parts = docs.select("doc_id", "vec"), []
     for part in _blocks(queries.select("query_id", "vec"), "query_id", block):
         if part.limit(1).count():
-            parts.append(_against(rows, part, "vec", block, {"best": "double"}, lambda sims: [rounded(sims, digits).max(axis=1)]).select("doc_id", "best"))
+            parts.append(_against(rows, part, "vec", {"best": "double"}, lambda sims: [rounded(sims, digits).max(axis=1)]).select("doc_id", "best"))
     if not parts:
         return rows.select("doc_id", F.lit(None).cast("double").alias("best")).limit(0)
     together = parts[0]

@@ -147,3 +147,15 @@ def test_gated_retrieval(spark):
     got = {r.doc_id: r.badge for r in out.collect()}
     assert got["p_sum"] == "PASSED 1/1 examples"
     assert got["p_sq"] == "unverified" or got["p_sq"].startswith("FAILED")
+
+
+def test_blocks_of_the_bank_give_the_same(spark):
+    r = __import__("random").Random(4)
+    docs = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(30)], "doc_id long, vec array<double>")
+    bank = spark.createDataFrame([([r.gauss(0, 1) for _ in range(4)],) for _ in range(22)] + [([0.1] * 4,)] * 3 + [(None,)], "vec array<double>")
+    for k in (3, 40):
+        got = dense.with_hubs(docs, bank, k, block=8)
+        assert got.columns == ["doc_id", "vec", "hub"]
+        assert sorted(got.select("doc_id", F.round("hub", 9)).collect()) == sorted(dense.with_hubs(docs, bank, k).select("doc_id", F.round("hub", 9)).collect())
+    got, want = (sorted(dense.with_log_mass(docs, bank, block=b).select("doc_id", F.round("log_mass", 9)).collect()) for b in (8, 4096))
+    assert got == want

@@ -224,6 +224,13 @@ def test_token_probabilities_sum_up():
     assert common > rare
 
 
+def test_counters_count_on_beyond_floats():
+    counters = lm.Counters()
+    for count in (1 << 24, 1, 1, 1):
+        counters.learn(["a"], np.array([count]))
+    assert counters.n.max() == (1 << 24) + 3
+
+
 def test_model_beats_no_model_on_held_out(spark):
     got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").toPandas()
     assert 1.5 < got.bits_per_byte.mean() < 4.0

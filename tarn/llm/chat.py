@@ -12,7 +12,7 @@ this or another common template can stand in a text, and undoing it in the rever
 A conversation may hold a large share of all rows: turns are first gathered in segments of SEGMENT turn numbers, which
 are formatted and read back on their own, and only the segments' strings meet in the conversation.
 
-Defined cases: turns go by number, ties by role and then content, null numbers first; a null text or role is empty; a
+Defined cases: turns go by number, ties by role and then parts as given (not as escaped), null numbers first; a null text or role is empty; a
 null conversation id is a conversation; repeated rows are turns of their own.
 """
 
@@ -29,6 +29,7 @@ MODALITIES = ("image", "audio", "document")
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 ROLE_ESCAPES = (*ESCAPES, ("\n", "&#10;"))
 PARTS = "array<struct<type:string,text:string,ref:string,n_tokens:int>>"
+PLACEHOLDER = r"<\|(image|audio|document):([0-9]+)\|>"
 
 
 def escape(text: Column, escapes: tuple = ESCAPES) -> Column:
@@ -64,17 +65,30 @@ def attachments(parts: Column) -> Column:
     return F.transform(F.filter(placed, lambda p: ~F.coalesce(p["plain"], F.lit(False))), lambda p: F.struct(p["type"].alias("type"), p["place"].alias("place"), p["ref"].alias("ref"), p["n_tokens"].alias("n_tokens")))
 
 
+def plain_text(content: Column) -> Column:
+    """A content's texts, unescaped. Texts hold no `<` of their own, so whatever begins with one is a placeholder."""
+    return unescape(F.regexp_replace(content, PLACEHOLDER, ""))
+
+
+def parts_of(content: Column) -> Column:
+    """A content's parts in order: type, text (of texts) and place (of placeholders)."""
+    pieces = F.regexp_extract_all(content, F.lit(f"{PLACEHOLDER}|[^<]+"), F.lit(0))
+    said = lambda x, n: F.regexp_extract(x, PLACEHOLDER, n)
+    is_text = lambda x: ~x.startswith("<")
+    return F.transform(pieces, lambda x: F.struct(
+        F.when(is_text(x), "text").otherwise(said(x, 1)).alias("type"), F.when(is_text(x), unescape(x)).alias("text"), F.when(~is_text(x), said(x, 2).cast("int")).alias("place")))
+
+
 def segments(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Formatted segments of the conversations of turns (conv_id, turn, role, parts).
 
     mask: starts and lengths of the loss roles' contents in the segment's string, in code points."""
-    role, content = F.coalesce("role", F.lit("")), visit(F.coalesce("parts", F.array().cast(PARTS)))
-    head = F.concat(F.lit(START), escape(role, ROLE_ESCAPES), F.lit("\n"))
-    rows = turns.select(
-        "conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"),
-        F.struct("turn", role.alias("role"), content.alias("content"), head.alias("head"), attachments(F.coalesce("parts", F.array().cast(PARTS))).alias("attachments")).alias("t"),
-    )
-    ordered = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    rows = turns.select("conv_id", F.floor(F.col("turn") / SEGMENT).alias("segment"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(PARTS)).alias("parts")).alias("t"))
+    ordered = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list("t")).alias("raw"))
+    shaped = F.transform("raw", lambda t: F.struct(
+        t["turn"].alias("turn"), t["role"].alias("role"), visit(t["parts"]).alias("content"),
+        F.concat(F.lit(START), escape(t["role"], ROLE_ESCAPES), F.lit("\n")).alias("head"), attachments(t["parts"]).alias("attachments")))
+    ordered = ordered.select("conv_id", "segment", shaped.alias("ts"))
     sizes = F.transform("ts", lambda t: F.length(t["head"]) + F.length(t["content"]) + len(END))
     place = lambda s: F.transform("ts", lambda t, i: F.struct(
         (F.aggregate(F.slice(s, F.lit(1), i), F.lit(0), lambda a, n: a + n) + F.length(t["head"])).alias("start"),
@@ -89,14 +103,14 @@ def segments(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Segments with what their strings say: the turns (role, text) and the text under the mask, unescaped.
+    """Segments with what their strings say: the turns (role, text and parts) and the text under the mask, unescaped.
 
-    Placeholders stay in the text as they are."""
+    A part is a text, or a placeholder's type and number; neighbouring texts have become one. text is the texts alone."""
     bodies = F.filter(F.split("formatted", F.lit(END.replace("|", r"\|"))), lambda x: x != "")
     turns = F.transform(bodies, lambda x: F.struct(
-        unescape(F.substring_index(F.substr(x, F.lit(len(START) + 1)), "\n", 1), ROLE_ESCAPES).alias("role"),
-        unescape(F.substr(x, F.instr(x, "\n") + 1)).alias("text")))
-    loss = F.transform("mask", lambda m: unescape(F.substr(F.col("formatted"), m["start"] + 1, m["length"])))
+        unescape(F.substring_index(F.substr(x, F.lit(len(START) + 1)), "\n", 1), ROLE_ESCAPES).alias("role"), F.substr(x, F.instr(x, "\n") + 1).alias("content")))
+    turns = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), plain_text(t["content"]).alias("text"), parts_of(t["content"]).alias("parts")))
+    loss = F.transform("mask", lambda m: plain_text(F.substr(F.col("formatted"), m["start"] + 1, m["length"])))
     return formatted.withColumns({"turns": turns, "loss": F.array_join(loss, "")})
 
 
@@ -139,9 +153,9 @@ WITH c AS (
     + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) - length(role) AS chars
   FROM c
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -1,16 +1,18 @@
 """Quality classifier: a small convolutional network over bytes, in numpy.
 
 A text's UTF-8 bytes are cut into chunks of CHUNK bytes that overlap by OVERLAP, over the whole text. Learned filters of
-WIDTH bytes slide over each chunk with stride STRIDE; a filter's largest response is the chunk's feature. Over a text's
-chunks the features' maximum, mean and minimum are combined into one logistic probability that the label is 1. A byte's
+WIDTH bytes slide over each chunk byte by byte; a filter's largest response is the chunk's feature. Over a text's chunks
+the features are pooled by maximum, and by mean and minimum besides, as over many chunks a maximum only grows; all are
+combined into one logistic probability that the label is 1. A byte's
 embedding times a filter's weights is a table of 256 rows for each place in the filter, so a convolution is WIDTH table
 lookups and sums. Training follows the largest responses back to embeddings, filters and weights (Adam).
 
-The network is fitted on a bounded sample (SAMPLE labelled rows, those of the smallest hash of their id, and no texts
-over SAMPLE_CHARS characters); scoring covers every whole text. Only the text enters a score.
+The network is fitted on a bounded sample: SAMPLE labelled rows, those of the smallest hash of their id. Of a text of
+over SAMPLE_CHUNKS chunks that many, spread evenly from its first to its last, take part in fitting; they are cut out on
+the executors, which bounds what the driver gathers. Scoring covers every whole text. Only the text enters a score.
 
 Defined cases: a null or empty text is one chunk of padding and gets a score like any other; rows without a label or id
-don't train; repeated rows get repeated scores; with no labelled row, or labels of one kind, the score is the share of
+don't train, and of several rows of one id the text of the smallest hash does; repeated rows get repeated scores; with no labelled row, or labels of one kind, the score is the share of
 label 1 (0.5 with none).
 """
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import map_texts, remainder, sliced, remainder_column, table
 
-CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 256, 32, 8, 2, 8, 16
-SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE, SEED = 3000, 40_000, 8, 32, 0.01, 7
+CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 256, 32, 8, 1, 8, 16
+SAMPLE, SAMPLE_CHUNKS, EPOCHS, BATCH, RATE, SEED = 3000, 96, 8, 32, 0.01, 7
 THRESHOLD, FOLDS = 0.3, 5
 _PAD = 256
 
@@ -85,16 +87,16 @@ class ByteConvNet:
             rows.append(np.concatenate([h.max(axis=0), h.mean(axis=0), h.min(axis=0)]))
         return 1 / (1 + np.exp(-(np.array(rows, np.float64) @ self.p["dense"].astype(np.float64) + float(self.p["out"][0]))))
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
+    def fit(self, cut: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> ByteConvNet:
+        """cut: the chunks of each text."""
         r = np.random.default_rng(seed)
         y = np.array(labels, np.float32)
         share = float(y.mean())
         self.p["out"][:] = np.log(share / (1 - share))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        cut = [chunks_of(t) for t in texts]
-        step, steps = 0, epochs * -(-len(texts) // BATCH)
+        step, steps = 0, epochs * -(-len(cut) // BATCH)
         for _ in range(epochs):
-            order = r.permutation(len(texts))
+            order = r.permutation(len(cut))
             for at in range(0, len(order), BATCH):
                 step += 1
                 which = order[at : at + BATCH]
@@ -159,17 +161,33 @@ class Constant:
         return np.full(len(texts), self.share)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, folds: int = FOLDS) -> ByteConvNet | Constant:
-    """A network fitted on at most `sample` labelled rows whose id's remainder is not 0."""
+def sampled_chunks(text: str | None, most: int) -> np.ndarray:
+    """All of a text's chunks, or `most` of them evenly from the first to the last."""
+    x = chunks_of(text)
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).round().astype(np.int64)]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chunks: int = SAMPLE_CHUNKS, folds: int = FOLDS) -> ByteConvNet | Constant:
+    """A network fitted on at most `sample` labelled ids whose remainder is not 0, at most `sample_chunks` chunks each."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("_tarn_quality")).where(F.col("doc_id").isNotNull() & F.col("_tarn_quality").isin(0, 1) & (remainder_column("doc_id", folds) != 0))
     # of each id one label, the ids in the order of a hash; the limit bounds what is broadcast and collected
     chosen = usable.groupBy("doc_id").agg(F.max("_tarn_quality").alias("_tarn_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    y = [r["_tarn_quality"] for r in rows]
+    # labels without a document take no places in the sample's rows, so rows are fewer where ids are missing
+    found = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def cut(batches):  # noqa: ANN001, ANN202
+        for batch in sliced(batches):
+            chunks = [sampled_chunks(t, sample_chunks).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_tarn_quality"), batch.column("hash"), pa.array(chunks, pa.binary())], names=["doc_id", "y", "hash", "chunks"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    cut_rows = found.select("doc_id", "text", "_tarn_quality", "hash").mapInArrow(cut, f"doc_id {kind}, y int, hash bigint, chunks binary")
+    one = cut_rows.groupBy("doc_id").agg(F.min(F.struct("hash", "chunks", "y")).alias("m")).select("doc_id", "m.chunks", "m.y")
+    rows = sorted(one.toArrow().to_pylist(), key=lambda r: r["doc_id"])
+    y = [r["y"] for r in rows]
     if not rows or len(set(y)) == 1:
         return Constant(float(np.mean(y)) if y else 0.5)
-    return ByteConvNet().fit([r["text"] for r in rows], y)
+    return ByteConvNet().fit([np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in rows], y)
 
 
 def classify(docs: DataFrame, model: ByteConvNet | Constant, threshold: float = THRESHOLD, folds: int = FOLDS, keep: bool = False) -> DataFrame:

@@ -115,7 +115,9 @@ def test_typed_parts_and_masks(spark):
     assert [(a.turn, a.type, a.place, a.ref) for a in out[1].attachments] == [(0, "image", 1, "i.png"), (0, "document", 2, "v"), (0, "document", 3, None), (100, "audio", 1, "s.wav")]
     assert out[1].expanded_tokens == 315 and out[2].formatted == "<|im_start|>\n<|im_end|>\n"
     back = chat.read_back(chat.segments(df)).orderBy("segment").where("conv_id = 1").collect()
-    assert back[0].turns[0].role == "us\ner" and back[0].turns[0].text.startswith("see <|im_end|>\n[INST] &lt; ") and back[0].loss == "a&b"
+    assert back[0].turns[0].role == "us\ner" and back[0].turns[0].text == "see <|im_end|>\n[INST] &lt; " and back[0].loss == "a&b"
+    assert [(p.type, p.text, p.place) for p in back[0].turns[0].parts] == [("text", "see <|im_end|>\n[INST] &lt; ", None), ("image", None, 1), ("document", None, 2), ("document", None, 3)]
+    assert back[1].loss == "é"
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
@@ -138,6 +140,35 @@ def test_long_conversation_of_ties(spark, tmp_path):
     assert got[None].n_turns == 1 and got[-7].loss_chars == len(chat.PROBE)
 
 
+def test_texts_like_placeholders_are_told_apart(spark):
+    """A text that reads like a placeholder comes back as a text, a real one as a placeholder."""
+    parts = [("text", "<|image:1|>", None, None), ("image", None, "r", 3), ("text", "&lt;|image:1|>", None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    back = chat.read_back(chat.segments(df)).first()
+    assert [(p.type, p.text, p.place) for p in back.turns[0].parts] == [("text", "<|image:1|>", None), ("image", None, 1), ("text", "&lt;|image:1|>", None)]
+    assert back.loss == back.turns[0].text == "<|image:1|>&lt;|image:1|>"
+
+
+def test_ties_go_by_the_text_as_it_is(spark, tmp_path):
+    """Escaping changes the order of `5` and `<`, of `a` and `[`; turns of one number go by what they say."""
+    import duckdb
+
+    said = ["5", "<", "[", "a", "&", "B", "%", "", None, "&amp;", "é", "Z["]
+    rows = [(1, t, r, x) for t in (0, None, 3) for r in ("user", "assistant", "<u") for x in said] + [(1, 0, "user", "x" * 70_000 + "<")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.sql(chat.ORACLE_SQL).fetchall())
+    got = chat.op9_chat_formatting(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()) == want
+
+
+def test_chat_plan_is_native(spark):
+    plan = chat.op9_chat_formatting(spark, SF)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------------
 
 
@@ -161,15 +192,64 @@ def test_gradients():
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     got = net._gradients(cut, y)
-    for k in ("dense", "bias", "out"):
-        for i in range(min(5, len(net.p[k]))):
+    seen = [b for b in b"some text#" for _ in range(2)]
+    places = {k: [(i,) for i in range(min(5, len(net.p[k])))] for k in ("dense", "bias", "out")}
+    places |= {"embed": [(b, i % quality.EMBED) for i, b in enumerate(seen)], "kernel": [(w, w % quality.EMBED, 3 * w % quality.FILTERS) for w in range(quality.WIDTH)]}
+    for k, of in places.items():
+        net.p[k] = net.p[k].astype(np.float64)
+        for i in of:
             old = net.p[k][i]
             net.p[k][i] = old + 1e-3
             up = loss()
             net.p[k][i] = old - 1e-3
             down = loss()
             net.p[k][i] = old
-            assert abs((up - down) / 2e-3 - got[k][i]) < 2e-3, (k, i)
+            decay = 1e-4 * old if k in ("embed", "kernel", "dense") else 0
+            assert abs((up - down) / 2e-3 + decay - got[k][i]) < 2e-3, (k, i)
+
+
+def plain_score(net, text):
+    """The network by loops: every filter at every place of every chunk."""
+    data = [*(text or "").encode()]
+    step = quality.CHUNK - quality.OVERLAP
+    starts = [0]
+    while starts[-1] + quality.CHUNK < len(data):
+        starts.append(starts[-1] + step)
+    p, rows = net.p, []
+    for s in starts:
+        chunk = (data[s : s + quality.CHUNK] + [256] * quality.CHUNK)[: quality.CHUNK]
+        x = p["embed"][chunk].astype(np.float64)
+        best = [max(float((x[i : i + quality.WIDTH] * p["kernel"][:, :, f]).sum()) for i in range(quality.CHUNK - quality.WIDTH + 1)) for f in range(quality.FILTERS)]
+        rows.append([max(0.0, b + p["bias"][f]) for f, b in enumerate(best)])
+    h = np.array(rows)
+    z = np.concatenate([h.max(axis=0), h.mean(axis=0), h.min(axis=0)]) @ p["dense"] + p["out"][0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_against_loops():
+    net = quality.ByteConvNet(4)
+    net.p["bias"] += 0.05
+    texts = [None, "", "short", "é" * 128, "x" * 257, "The quick brown fox. " * 40]
+    assert np.allclose(net.scores(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_long_texts_train(spark):
+    """Only long texts are labelled, what tells them apart stands anywhere in them, and ids repeat."""
+    r = random.Random(2)
+    rows = []
+    for i in range(40):
+        words = r.choices(["lorem", "ipsum", "dolor", "sit"], k=9000)
+        if i % 2:
+            words[::40] = ["@@##!!%%"] * len(words[::40])
+        rows.append((i, " ".join(words)))
+    rows += [rows[3], (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2, 0) for i in range(40)] + [(999, 1, 0)], "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t in rows[:-1]) > 40_000
+    model = quality.train(df, labels, sample_chunks=48)
+    assert isinstance(model, quality.ByteConvNet)
+    got = quality.classify(df, model).where("doc_id <> 3").collect()
+    assert np.mean([(x.score >= 0.5) == (x.doc_id % 2 == 0) for x in got]) > 0.9
 
 
 def test_held_out_accuracy(spark):
@@ -198,8 +278,8 @@ def test_quality_cases(spark):
 def test_base_scores_and_cases(spark):
     rows = [(i, t) for i, t in enumerate(["the cat Sat", "the\tdog", "", None, "a rare zebra", "the the the"] * 4)] + [(5, "the dog"), (5, "the dog"), (None, "unseen token")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    for hot in (3, lm.HOT):
-        got = lm.score(df, hot=hot).collect()
+    for most in (3, lm.DICTIONARY):
+        got = lm.score(df, most=most).collect()
         held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
         tokens = lambda t: (t or "").lower().split() + ["\n"]
         counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
@@ -210,29 +290,153 @@ def test_base_scores_and_cases(spark):
     assert lm.score(df.limit(0)).count() == 0
 
 
-def test_token_probabilities_sum_up():
-    """One byte at a time: the probabilities of all next bytes after a prefix add to one."""
-    counters = lm.Counters()
-    words = ["the", "then", "of", "a", "\n", "thé"]
-    counts = np.array([50, 3, 20, 9, 7, 1])
-    counters.learn(words, counts)
-    mixer = lm.Mixer(counters)
-    mixer.learn(words, counts, lm.RATE)
-    total = sum(np.exp(mixer.byte_logs(b"th" + bytes([x])))[-1] for x in range(256))
-    assert abs(total - 1) < 1e-6
-    common, rare = mixer.log10(["the", "thx"])[0]
-    assert common > rare
+LM_TEXTS = ["the cat sat on the mat", "the cat the dog", "a cat sat", "", "of the mat and the cat", "the dog sat on a mat"] * 3
+
+
+def learned(texts, words, slots=18, most=4):
+    """A language, a learner that has read the texts, and the model it makes."""
+    counts = Counter(w for t in words for w in [*t, b"\n"])
+    known = dict(counts.most_common(most)) | {b"\n": counts[b"\n"]}
+    language = lm.Language(known, sum(counts.values()) - sum(known.values()))
+    learner = lm.Learner(language, slots)
+    for run in lm.runs(iter(words)):
+        learner.learn(run)
+    n = learner.n.reshape(-1, 2).astype(np.float64)
+    return language, learner, lm.Model(language, slots, lm.stretched(n[:, 0], n[:, 1]).astype(np.float32), lm.level(n.sum(axis=1)), learner.mixer)
+
+
+def plain_bits(language, texts):
+    """For each token of the texts its bits: what each predictor knows as its context, the bit, and the kind."""
+    names = {i: w for w, i in language.ids.items()}
+    for words in texts:
+        common, words = b"\n", [*words, b"\n"]
+        for i, w in enumerate(words):
+            one, two = (words[i - k] if i >= k else b"\n" for k in (1, 2))
+            symbol = 0 if w == b"\n" else language.ids.get(w, 1)
+            _, nodes, bits = language.words.spelled(np.array([symbol]))
+            token = [((("n", n), ("1", one, n), ("2", one, two if i > 1 else b"\n", n), ("e", one[-3:], n), ("c", common, n)), int(b), 0) for n, b in zip(nodes.tolist(), bits.tolist(), strict=True)]
+            if symbol == 1:
+                line = (b"   " + one)[-3:] + b" " if i else b"  \n "
+                for k, byte in enumerate(w + b" "):
+                    s = line + (w + b" ")[:k]
+                    _, nodes, bits = language.bytes.spelled(np.array([byte]))
+                    token += [((("b2", s[-2:], n), ("b3", s[-3:], n), ("b4", s[-4:], n), ("bc", common, s[-1:], n), ("p", (w + b" ")[:k], n)), int(b), 1) for n, b in zip(nodes.tolist(), bits.tolist(), strict=True)]
+            if w in names.values() and language.ids[w] < 2 + lm.FREQUENT or w == b"\n":
+                common = w
+            yield token
+
+
+def test_scores_against_a_plain_model(monkeypatch):
+    """The same model with dictionaries of contexts instead of slots and loops over bits, learned in small batches."""
+    monkeypatch.setattr(lm, "BATCH", 8)
+    words = [lm.tokens_of(t) for t in LM_TEXTS]
+    language, learner, model = learned(LM_TEXTS, words)
+    tokens, seen = [*plain_bits(language, words)], {}
+    weights, square, apm = np.full((lm._GATES, 6), 0.3), np.full((lm._GATES, 6), 1e-3), np.zeros((lm._GATES, 33, 2))
+    weights[:, 5] = 0
+
+    def look(keys, kind):
+        n = [seen.get(k, (0, 0)) for k in keys]
+        steps = [sum(sum(n[k]) > b for b in (0.5, 1.5, 3.5, 15.5, 127.5)) for k in (1, 2)]
+        return [math.log((b + 0.3) / (a + 0.3)) for a, b in n] + [1.0], kind * 36 + steps[0] * 6 + steps[1]
+
+    mixed = lambda x, gate: max(-16.0, min(16.0, float(weights[gate] @ x)))
+    place = lambda z: int(max(0, min(32, round(2 * z) + 16)))
+    for step, at in enumerate(range(0, len(tokens), 8)):
+        batch = [(*look(keys, kind), keys, bit) for t in tokens[at : at + 8] for keys, bit, kind in t]
+        moved, total = np.zeros_like(weights), np.zeros(lm._GATES)
+        drawn = [(gate, place(z), bit, bit - 1 / (1 + math.exp(-z)), x) for x, gate, _, bit in batch for z in [mixed(x, gate)]]
+        for gate, _, _, push, x in drawn:
+            moved[gate] += push * np.array(x)
+            total[gate] += 1
+        for gate in np.flatnonzero(total):
+            g = moved[gate] / total[gate]
+            square[gate] += 0.02 * (g * g - square[gate])
+            weights[gate] += lm.RATE / math.sqrt(1 + step / 16) * g / np.sqrt(square[gate])
+        for gate, at_map, bit, _, _ in drawn:
+            apm[gate, at_map, bit] += 1
+        for _, _, keys, bit in batch:
+            for k in keys:
+                a, b = seen.get(k, (0, 0))
+                seen[k] = (a + (not bit), b + bit)
+    assert learner.steps == -(-len(tokens) // 8) and np.allclose(learner.mixer.weights, weights, atol=1e-4)
+    fresh = ["the cat sat on a hat", "", "the the", "zebra the mat"]
+    want = []
+    for t in [*LM_TEXTS, *fresh]:
+        total = 0.0
+        for token in plain_bits(language, [lm.tokens_of(t)]):
+            for keys, bit, kind in token:
+                x, gate = look(keys, kind)
+                z = mixed(x, gate)
+                p = 1 / (1 + math.exp(-z))
+                n0, n1 = apm[gate, place(z)]
+                p = max(1e-6, min(1 - 1e-6, 0.5 * p + 0.5 * (n1 + 4 * p) / (n0 + n1 + 4)))
+                total += math.log10(p if bit else 1 - p)
+        want.append(total)
+    assert np.allclose(model.log10([lm.tokens_of(t) for t in [*LM_TEXTS, *fresh]]), want, atol=2e-3)
+
+
+def test_probabilities_sum_up():
+    """After the same words, all dictionary words, the end and the escape together; and all bytes of an escaped word."""
+    words = [lm.tokens_of(t) for t in LM_TEXTS]
+    language, _, model = learned(LM_TEXTS, words)
+    before = [b"the", b"cat"]
+    first = model.log10([before])[0] - model.tokens([before])[0][-1]
+    ends = 10 ** model.tokens([before])[0][-1]
+    total = ends + sum(10 ** model.tokens([[*before, w]])[0][2] for w in language.ids)
+    bits = lm.Bits(lm.Tokens(language, [[*before, b"zz"]]), 2, 3, model.slots)
+    x = np.stack([model.stretch.take(s) for s in bits.slots])
+    gate = lm.gates(bits, model.levels.take(bits.slots[1]), model.levels.take(bits.slots[2]))
+    p = model.mixer.refined(model.mixer.mix(x, gate), gate)
+    escape = np.prod(np.where(bits.value > 0, p, 1 - p)[: bits.words])
+    assert first < 0 and abs(total + escape - 1) < 1e-6
+    for c in (language.words, language.bytes):  # complete prefix codes
+        assert abs(sum(2.0 ** -c.lengths) - 1) < 1e-9
+
+
+def test_codes_are_huffman_s():
+    counts = [3, 1, 1, 9, 27, 2, 2, 40]
+    codes = lm.Codes(counts)
+    strings = []
+    for i in range(len(counts)):
+        _, nodes, bits = codes.spelled(np.array([i]))
+        strings.append("".join(map(str, bits)))
+        assert len(set(nodes.tolist())) == len(nodes) and nodes[0] == codes.nodes - 1
+    assert not any(a != b and b.startswith(a) for a in strings for b in strings)
+    merged, h = 0, sorted(counts)
+    while len(h) > 1:
+        merged += h[0] + h[1]
+        h = sorted([h[0] + h[1], *h[2:]])
+    assert sum(c * len(s) for c, s in zip(counts, strings, strict=True)) == merged
+
+
+def test_scores_through_spark(spark, tmp_path):
+    """One shard gives the same numbers as one process, and the same twice; word order matters; a very long text is scored whole."""
+    r = random.Random(6)
+    texts = [" ".join(r.choices(["the", "cat", "sat", "on", "mat", "x%d" % r.randrange(50)], k=r.randrange(60))) for _ in range(120)] + ["the cat sat on mat " * 30_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = {x.doc_id: x.score for x in lm.score(df, most=5).collect()}
+    assert got == {x.doc_id: x.score for x in lm.score(df, most=5).collect()}
+    train = [lm.tokens_of(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in [*t, b"\n"])
+    language, _, model = learned(texts, train, slots=min(lm.SLOTS, max(lm.LEAST_SLOTS, round(math.log2(sum(counts.values()))))), most=5)
+    want = model.log10([lm.tokens_of(t) for t in texts])
+    assert len(language.ids) <= 5 and np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+    assert model.log10([b"the cat sat on mat".split()])[0] > model.log10([b"mat on sat cat the".split()])[0]
 
 
 def test_counters_count_on_beyond_floats():
-    counters = lm.Counters()
-    for count in (1 << 24, 1, 1, 1):
-        counters.learn(["a"], np.array([count]))
-    assert counters.n.max() == (1 << 24) + 3
+    language = lm.Language({b"a": 5, b"\n": 1}, 0)
+    learner = lm.Learner(language, 12)
+    learner.n[:] = 1 << 24
+    learner.learn([[b"a"]] * 3)
+    assert learner.n.max() == (1 << 24) + 6
 
 
-def test_model_beats_no_model_on_held_out(spark):
-    got = lm.score(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").toPandas()
+def test_model_beats_the_base_score_on_held_out(spark):
+    got = lm.score(spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")).where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
     assert 1.5 < got.bits_per_byte.mean() < 4.0
 
 

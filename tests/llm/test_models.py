@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,52 +294,58 @@ def test_base_scores_and_cases(spark):
 LM_TEXTS = ["the cat sat on the mat", "the cat the dog", "a cat sat", "", "of the mat and the cat", "the dog sat on a mat"] * 3
 
 
-def learned(texts, words, slots=18, most=4):
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def learned(texts, slots=18, most=4):
     """A language, a learner that has read the texts, and the model it makes."""
-    counts = Counter(w for t in words for w in [*t, b"\n"])
+    counts = Counter(w for t in texts for w in [*words_of(t), b"\n"])
     known = dict(counts.most_common(most)) | {b"\n": counts[b"\n"]}
     language = lm.Language(known, sum(counts.values()) - sum(known.values()))
     learner = lm.Learner(language, slots)
-    for run in lm.runs(iter(words)):
-        learner.learn(run)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for piece in lm.pieces(iter([batch])):
+        learner.learn(piece.column(1))
     n = learner.n.reshape(-1, 2).astype(np.float64)
-    return language, learner, lm.Model(language, slots, lm.stretched(n[:, 0], n[:, 1]).astype(np.float32), lm.level(n.sum(axis=1)), learner.mixer)
-
-
-def plain_bits(language, texts):
-    """For each token of the texts its bits: what each predictor knows as its context, the bit, and the kind."""
-    names = {i: w for w, i in language.ids.items()}
-    for words in texts:
-        common, words = b"\n", [*words, b"\n"]
-        for i, w in enumerate(words):
-            one, two = (words[i - k] if i >= k else b"\n" for k in (1, 2))
-            symbol = 0 if w == b"\n" else language.ids.get(w, 1)
-            _, nodes, bits = language.words.spelled(np.array([symbol]))
-            token = [((("n", n), ("1", one, n), ("2", one, two if i > 1 else b"\n", n), ("e", one[-3:], n), ("c", common, n)), int(b), 0) for n, b in zip(nodes.tolist(), bits.tolist(), strict=True)]
-            if symbol == 1:
-                line = (b"   " + one)[-3:] + b" " if i else b"  \n "
-                for k, byte in enumerate(w + b" "):
-                    s = line + (w + b" ")[:k]
-                    _, nodes, bits = language.bytes.spelled(np.array([byte]))
-                    token += [((("b2", s[-2:], n), ("b3", s[-3:], n), ("b4", s[-4:], n), ("bc", common, s[-1:], n), ("p", (w + b" ")[:k], n)), int(b), 1) for n, b in zip(nodes.tolist(), bits.tolist(), strict=True)]
-            if w in names.values() and language.ids[w] < 2 + lm.FREQUENT or w == b"\n":
-                common = w
-            yield token
+    return language, learner, lm.Model(language, slots, lm.done(n[:, 0], n[:, 1]), learner.mixer)
+
+
+def token_logs(model, texts):
+    return model.log10(lm.Tokens(model.language, pa.array(texts, pa.string())))
+
+
+def plain_bits(language, text):
+    """For each token of a text its bits: what each predictor knows as its context, the bit, and the kind."""
+    common, words = b"\n", [*words_of(text), b"\n"]
+    place = lambda code, symbol: [(int(code.path[at]), int(code.bits[at])) for at in code.spelled(np.array([symbol]))[1]]
+    for i, w in enumerate(words):
+        one = words[i - 1] if i else b"\n"
+        symbol = 0 if w == b"\n" else language.ids.get(w, 1)
+        token = [((("n", n), ("1", one, n), ("c", common, n)), b, 0) for n, b in place(language.words, symbol)]
+        if symbol == 1:
+            line = (b"  " + one)[-3:] + b" " if i else b"  \n "
+            for k, byte in enumerate(w + b" "):
+                s = line + (w + b" ")[:k]
+                token += [((("bc", common, s[-1:], n), ("b4", s[-4:], n), ("p", (w + b" ")[:k], n)), b, 1) for n, b in place(language.bytes, byte)]
+        if w in language.ids and language.ids[w] < 2 + lm.FREQUENT or w == b"\n":
+            common = w
+        yield token
 
 
 def test_scores_against_a_plain_model(monkeypatch):
     """The same model with dictionaries of contexts instead of slots and loops over bits, learned in small batches."""
     monkeypatch.setattr(lm, "BATCH", 8)
-    words = [lm.tokens_of(t) for t in LM_TEXTS]
-    language, learner, model = learned(LM_TEXTS, words)
-    tokens, seen = [*plain_bits(language, words)], {}
-    weights, square, apm = np.full((lm._GATES, 6), 0.3), np.full((lm._GATES, 6), 1e-3), np.zeros((lm._GATES, 33, 2))
-    weights[:, 5] = 0
+    language, learner, model = learned(LM_TEXTS)
+    tokens, seen = [x for t in LM_TEXTS for x in plain_bits(language, t)], {}
+    weights, square, apm = np.full((lm._GATES, 4), 0.3), np.full((lm._GATES, 4), 1e-3), np.zeros((lm._GATES, 33, 2))
+    weights[:, 3] = 0
 
-    def look(keys, kind):
+    def look(keys, kind, step=None):
         n = [seen.get(k, (0, 0)) for k in keys]
         steps = [sum(sum(n[k]) > b for b in (0.5, 1.5, 3.5, 15.5, 127.5)) for k in (1, 2)]
-        return [math.log((b + 0.3) / (a + 0.3)) for a, b in n] + [1.0], kind * 36 + steps[0] * 6 + steps[1]
+        x = [math.log((b + 0.3) / (a + 0.3)) for a, b in n]
+        return [round(v * step) / step for v in x] + [1.0] if step else x + [1.0], kind * 36 + steps[0] * 6 + steps[1]
 
     mixed = lambda x, gate: max(-16.0, min(16.0, float(weights[gate] @ x)))
     place = lambda z: int(max(0, min(32, round(2 * z) + 16)))
@@ -364,32 +371,27 @@ def test_scores_against_a_plain_model(monkeypatch):
     want = []
     for t in [*LM_TEXTS, *fresh]:
         total = 0.0
-        for token in plain_bits(language, [lm.tokens_of(t)]):
+        for token in plain_bits(language, t):
             for keys, bit, kind in token:
-                x, gate = look(keys, kind)
+                x, gate = look(keys, kind, 128)
                 z = mixed(x, gate)
                 p = 1 / (1 + math.exp(-z))
                 n0, n1 = apm[gate, place(z)]
                 p = max(1e-6, min(1 - 1e-6, 0.5 * p + 0.5 * (n1 + 4 * p) / (n0 + n1 + 4)))
                 total += math.log10(p if bit else 1 - p)
         want.append(total)
-    assert np.allclose(model.log10([lm.tokens_of(t) for t in [*LM_TEXTS, *fresh]]), want, atol=2e-3)
+    assert np.allclose(model.texts(pa.array([*LM_TEXTS, *fresh])), want, atol=2e-3)
 
 
 def test_probabilities_sum_up():
     """After the same words, all dictionary words, the end and the escape together; and all bytes of an escaped word."""
-    words = [lm.tokens_of(t) for t in LM_TEXTS]
-    language, _, model = learned(LM_TEXTS, words)
-    before = [b"the", b"cat"]
-    first = model.log10([before])[0] - model.tokens([before])[0][-1]
-    ends = 10 ** model.tokens([before])[0][-1]
-    total = ends + sum(10 ** model.tokens([[*before, w]])[0][2] for w in language.ids)
-    bits = lm.Bits(lm.Tokens(language, [[*before, b"zz"]]), 2, 3, model.slots)
-    x = np.stack([model.stretch.take(s) for s in bits.slots])
-    gate = lm.gates(bits, model.levels.take(bits.slots[1]), model.levels.take(bits.slots[2]))
-    p = model.mixer.refined(model.mixer.mix(x, gate), gate)
+    language, _, model = learned(LM_TEXTS)
+    first = token_logs(model, ["the cat"])
+    total = 10 ** first[-1] + sum(10 ** token_logs(model, ["the cat " + w.decode()])[2] for w in language.ids)
+    bits = lm.Bits(lm.Tokens(language, pa.array(["the cat zz"])), 2, 3, model.slots)
+    p = model.probabilities(bits)
     escape = np.prod(np.where(bits.value > 0, p, 1 - p)[: bits.words])
-    assert first < 0 and abs(total + escape - 1) < 1e-6
+    assert abs(total + escape - 1) < 1e-6
     for c in (language.words, language.bytes):  # complete prefix codes
         assert abs(sum(2.0 ** -c.lengths) - 1) < 1e-9
 
@@ -399,9 +401,11 @@ def test_codes_are_huffman_s():
     codes = lm.Codes(counts)
     strings = []
     for i in range(len(counts)):
-        _, nodes, bits = codes.spelled(np.array([i]))
-        strings.append("".join(map(str, bits)))
-        assert len(set(nodes.tolist())) == len(nodes) and nodes[0] == codes.nodes - 1
+        at = codes.spelled(np.array([i]))[1]
+        strings.append("".join(map(str, codes.bits[at])))
+        assert len(set(codes.path[at].tolist())) == len(at) and codes.path[at[0]] == codes.nodes - 1
+        assert codes.inside[at].tolist() == [int("1" + strings[-1][k - k % 3 : k], 2) for k in range(len(at))]
+        assert codes.group[at].tolist() == [codes.path[at[k - k % 3]] for k in range(len(at))]
     assert not any(a != b and b.startswith(a) for a in strings for b in strings)
     merged, h = 0, sorted(counts)
     while len(h) > 1:
@@ -418,20 +422,21 @@ def test_scores_through_spark(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "d"))
     got = {x.doc_id: x.score for x in lm.score(df, most=5).collect()}
     assert got == {x.doc_id: x.score for x in lm.score(df, most=5).collect()}
-    train = [lm.tokens_of(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
-    counts = Counter(w for t in train for w in [*t, b"\n"])
-    language, _, model = learned(texts, train, slots=min(lm.SLOTS, max(lm.LEAST_SLOTS, round(math.log2(sum(counts.values()))))), most=5)
-    want = model.log10([lm.tokens_of(t) for t in texts])
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in [*words_of(t), b"\n"])
+    language, _, model = learned(train, slots=min(lm.SLOTS, max(lm.LEAST_SLOTS, round(math.log2(sum(counts.values()))))), most=5)
+    want = model.texts(pa.array(texts))
     assert len(language.ids) <= 5 and np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
-    assert model.log10([b"the cat sat on mat".split()])[0] > model.log10([b"mat on sat cat the".split()])[0]
+    ordered, mixed = model.texts(pa.array(["the cat sat on mat", "mat on sat cat the"]))
+    assert ordered > mixed
 
 
 def test_counters_count_on_beyond_floats():
     language = lm.Language({b"a": 5, b"\n": 1}, 0)
     learner = lm.Learner(language, 12)
     learner.n[:] = 1 << 24
-    learner.learn([[b"a"]] * 3)
-    assert learner.n.max() == (1 << 24) + 6
+    learner.learn(pa.array(["a"] * 3))
+    assert learner.n.max() == (1 << 24) + 3
 
 
 def test_model_beats_the_base_score_on_held_out(spark):

@@ -322,12 +322,12 @@ def plain_bits(language, text):
     for i, w in enumerate(words):
         one = words[i - 1] if i else b"\n"
         symbol = 0 if w == b"\n" else language.ids.get(w, 1)
-        token = [((("n", n), ("1", one, n), ("c", common, n)), b, 0) for n, b in place(language.words, symbol)]
+        token = [((("1", one, n), ("c", common, n)), b, 0, language.words.static[n]) for n, b in place(language.words, symbol)]
         if symbol == 1:
             line = (b"  " + one)[-3:] + b" " if i else b"  \n "
             for k, byte in enumerate(w + b" "):
                 s = line + (w + b" ")[:k]
-                token += [((("bc", common, s[-1:], n), ("b4", s[-4:], n), ("p", (w + b" ")[:k], n)), b, 1) for n, b in place(language.bytes, byte)]
+                token += [((("b", s[-3:], n), ("p", (w + b" ")[:k], n)), b, 1, language.bytes.static[n]) for n, b in place(language.bytes, byte)]
         if w in language.ids and language.ids[w] < 2 + lm.FREQUENT or w == b"\n":
             common = w
         yield token
@@ -336,31 +336,33 @@ def plain_bits(language, text):
 def test_scores_against_a_plain_model(monkeypatch):
     """The same model with dictionaries of contexts instead of slots and loops over bits, learned in small batches."""
     monkeypatch.setattr(lm, "BATCH", 8)
+    monkeypatch.setattr(lm, "LEARNED", 3)
     language, learner, model = learned(LM_TEXTS)
     tokens, seen = [x for t in LM_TEXTS for x in plain_bits(language, t)], {}
     weights, square, apm = np.full((lm._GATES, 4), 0.3), np.full((lm._GATES, 4), 1e-3), np.zeros((lm._GATES, 33, 2))
     weights[:, 3] = 0
 
-    def look(keys, kind, step=None):
+    def look(keys, kind, static, step=None):
         n = [seen.get(k, (0, 0)) for k in keys]
-        steps = [sum(sum(n[k]) > b for b in (0.5, 1.5, 3.5, 15.5, 127.5)) for k in (1, 2)]
+        steps = [sum(sum(pair) > b for b in (0.5, 1.5, 3.5, 15.5, 127.5)) for pair in n]
         x = [math.log((b + 0.3) / (a + 0.3)) for a, b in n]
-        return [round(v * step) / step for v in x] + [1.0] if step else x + [1.0], kind * 36 + steps[0] * 6 + steps[1]
+        return [float(static), *([round(v * step) / step for v in x] if step else x), 1.0], kind * 36 + steps[0] * 6 + steps[1]
 
     mixed = lambda x, gate: max(-16.0, min(16.0, float(weights[gate] @ x)))
     place = lambda z: int(max(0, min(32, round(2 * z) + 16)))
     for step, at in enumerate(range(0, len(tokens), 8)):
-        batch = [(*look(keys, kind), keys, bit) for t in tokens[at : at + 8] for keys, bit, kind in t]
+        batch = [(*look(keys, kind, static), keys, bit) for t in tokens[at : at + 8] for keys, bit, kind, static in t]
         moved, total = np.zeros_like(weights), np.zeros(lm._GATES)
         drawn = [(gate, place(z), bit, bit - 1 / (1 + math.exp(-z)), x) for x, gate, _, bit in batch for z in [mixed(x, gate)]]
         for gate, _, _, push, x in drawn:
             moved[gate] += push * np.array(x)
             total[gate] += 1
-        for gate in np.flatnonzero(total):
+        learns = step < 3 or step % lm.EACH == 0
+        for gate in np.flatnonzero(total) if learns else ():
             g = moved[gate] / total[gate]
             square[gate] += 0.02 * (g * g - square[gate])
             weights[gate] += lm.RATE / math.sqrt(1 + step / 16) * g / np.sqrt(square[gate])
-        for gate, at_map, bit, _, _ in drawn:
+        for gate, at_map, bit, _, _ in drawn if learns else ():
             apm[gate, at_map, bit] += 1
         for _, _, keys, bit in batch:
             for k in keys:
@@ -372,8 +374,8 @@ def test_scores_against_a_plain_model(monkeypatch):
     for t in [*LM_TEXTS, *fresh]:
         total = 0.0
         for token in plain_bits(language, t):
-            for keys, bit, kind in token:
-                x, gate = look(keys, kind, 128)
+            for keys, bit, kind, static in token:
+                x, gate = look(keys, kind, static, 128)
                 z = mixed(x, gate)
                 p = 1 / (1 + math.exp(-z))
                 n0, n1 = apm[gate, place(z)]
@@ -404,6 +406,8 @@ def test_codes_are_huffman_s():
         at = codes.spelled(np.array([i]))[1]
         strings.append("".join(map(str, codes.bits[at])))
         assert len(set(codes.path[at].tolist())) == len(at) and codes.path[at[0]] == codes.nodes - 1
+        below = [sum(c for j, c in enumerate(counts) if set(codes.path[codes.spelled(np.array([j]))[1]].tolist()) >= {n}) for n in codes.path[at].tolist()]
+        assert below[0] == sum(counts) and sorted(below, reverse=True) == below
         assert codes.inside[at].tolist() == [int("1" + strings[-1][k - k % 3 : k], 2) for k in range(len(at))]
         assert codes.group[at].tolist() == [codes.path[at[k - k % 3]] for k in range(len(at))]
     assert not any(a != b and b.startswith(a) for a in strings for b in strings)
@@ -412,6 +416,8 @@ def test_codes_are_huffman_s():
         merged += h[0] + h[1]
         h = sorted([h[0] + h[1], *h[2:]])
     assert sum(c * len(s) for c, s in zip(counts, strings, strict=True)) == merged
+    left, right = (sum(c for c, s in zip(counts, strings, strict=True) if s[0] == bit) for bit in "01")
+    assert abs(codes.static[codes.nodes - 1] - math.log((right + 0.3) / (left + 0.3))) < 1e-5
 
 
 def test_scores_through_spark(spark, tmp_path):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -17,35 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's checkpoint folder and read from there afterwards.
+def folder(spark: SparkSession) -> str:
+    """The shared folder for what cuts lineage: spark.checkpoint.dir. Its files go when the driver ends.
 
-    The folder is spark.checkpoint.dir; a temporary one is set only where the session has none.
-    """
-    context = df.sparkSession.sparkContext
+    Without the setting a local session (as in tests) gets a temporary folder; on a cluster that is an error, as other
+    machines couldn't read it."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="tarn-checkpoint-")
+        context.setCheckpointDir(path)
+    _delete_at_end(spark, context.getCheckpointDir())
+    return context.getCheckpointDir()
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
-            folder = tempfile.mkdtemp(prefix="tarn-checkpoint-")
-        context.setCheckpointDir(folder)
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the cluster's checkpoint folder and read from there afterwards."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the checkpoint folder and read again; the files go when the driver ends.
+    """df, written as Parquet to the checkpoint folder and read again.
 
     For tables of many rows, which this keeps several times smaller than a checkpoint."""
-    import uuid
-
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        checkpoint(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/tarn-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{folder(spark)}/tarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

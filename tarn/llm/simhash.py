@@ -13,13 +13,17 @@ counted together: the differing planes go through carry-save adders into bit-sli
 64 distances are beyond the radius are abandoned. A group passes on a spanning forest of its links, which joins
 what the links join; components are found over distinct fingerprints.
 
+A bucket over SPLIT chunks is first divided by the bits that its key leaves: of radius + 1 parts of them two linked
+fingerprints agree on one.
+
 For similarity thresholds that 64 bits can't resolve, `similar` only searches with fingerprints: WIDE words of 64 bits
 over distinct shingles. Bits differ in the share acos(cosine) / pi of places, which turns a resemblance (Jaccard) into a
 radius, taken some deviations wider; as that is far too large for blocks, candidates share one of several keys of sampled
-bits, whose number gives the wanted recall at the threshold. Chunks, planes and counters are the same. A candidate pair
-is a link only if its texts' whole shingle sets (64-bit hashes) have the similarity. Texts of equal sets are one node.
-A first pass over few keys checks a spanning forest of close pairs; the second, over all keys, checks every candidate
-pair that what is linked so far doesn't join.
+bits, whose number gives the wanted recall at the threshold. Chunks, planes and counters are the same. Texts of equal
+sets are one node. Candidate links are passed on as spanning forests, never as all pairs, and make families of nodes that
+may be alike. A family is compared as a whole once more, now together with its texts' whole shingle sets (64-bit hashes):
+two nodes are linked only if the Jaccard similarity of their sets reaches the threshold. A large family is cut into
+chunks, by rows and by shingles, and compared chunk against chunk.
 
 Defined cases: a null, empty or wordless text has fingerprint zero, linked like any other; fewer words than a shingle
 make one shingle; rows that repeat each get a row; a null id never names a component unless all its ids are null.
@@ -49,8 +53,12 @@ _SLICE = 1 << 15
 #: 64-bit words of a wide fingerprint, and the recall of its candidate search over pairs at the threshold.
 WIDE, RECALL = 4, 0.995
 #: Standard deviations that the candidate radius is wider than expected; sets up to FEW shingles differ in more bits than
-#: the angle says, as ties are zeros. Keys of the first pass, and deviations that its radius is narrower.
-WIDER, FEW, WIDER_FEW, FIRST_KEYS, NARROWER = 3, 32, 4.5, 4, 1.5
+#: the angle says, as ties are zeros.
+WIDER, FEW, WIDER_FEW = 3, 32, 4.5
+#: Shingles in a chunk of a family (8 bytes each).
+CHUNK_SHINGLES = 2_000_000
+#: Chunks of a bucket beyond which it is divided by the bits that its key leaves.
+SPLIT = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -114,15 +122,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc: str = "doc_id", t
     return map_texts(rows, rows.columns, run, ", ".join(f"{n} bigint" for n in names) + ", fp0 bigint")
 
 
-def _node(shingles: np.ndarray) -> int:
-    """A set's name: 64 bits of its hash."""
-    from xxhash import xxh64_intdigest
+def _names(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's name: 128 bits of its hash."""
+    from xxhash import xxh3_128_intdigest
 
-    return _signed(xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
+    wide = xxh3_128_intdigest(shingles.astype("<u8").tobytes(), SEED)
+    return _signed(wide >> 64), _signed(wide & (1 << 64) - 1)
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, doc: str, text: str, extra: list[Column]) -> DataFrame:
-    """doc_id, the columns of extra (bigint), the distinct shingles' node and number, and their fingerprint's words."""
+    """doc_id, the columns of extra (bigint), the distinct shingles' name (h1, h2) and number n, and their fingerprint."""
     rows = docs.select(F.col(doc).alias("doc_id"), *extra, F.col(text).alias("text"))
     names = [c for c in rows.columns if c != "text"]
 
@@ -130,11 +139,11 @@ def wide_fingerprints(docs: DataFrame, shingle: int, doc: str, text: str, extra:
         found = []
         for t in batch.column("text").to_pylist():
             h = np.unique(shingle_hashes(t, shingle))
-            found.append((_node(h), len(h), *map(_signed, _set_bits(h, WIDE))))
-        columns = zip(*found, strict=True) if found else [()] * (2 + WIDE)
-        return {n: batch.column(n) for n in names} | dict(zip(["node", "n", *[f"fp{w}" for w in range(WIDE)]], map(list, columns), strict=True))
+            found.append((*_names(h), len(h), *map(_signed, _set_bits(h, WIDE))))
+        columns = zip(*found, strict=True) if found else [()] * (3 + WIDE)
+        return {n: batch.column(n) for n in names} | dict(zip(["h1", "h2", "n", *[f"fp{w}" for w in range(WIDE)]], map(list, columns), strict=True))
 
-    return map_texts(rows, rows.columns, run, "".join(f"{n} bigint, " for n in names) + "node bigint, n bigint" + "".join(f", fp{w} bigint" for w in range(WIDE)))
+    return map_texts(rows, rows.columns, run, "".join(f"{n} bigint, " for n in names) + "h1 bigint, h2 bigint, n bigint" + "".join(f", fp{w} bigint" for w in range(WIDE)))
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------------
@@ -204,7 +213,8 @@ def sliced_links(groups: list[np.ndarray], radius: int = RADIUS, block: int = 1
     planes = np.empty((width * 64, total), np.uint64)
     for w in range(width):
         bits = np.unpackbits(np.ascontiguousarray(lanes[:, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # lane, bit
-        planes[w * 64 : w * 64 + 64] = np.packbits(bits.reshape(total, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little").view("<u8").reshape(64, total)
+        packed = np.packbits(bits.reshape(total, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little")
+        planes[w * 64 : w * 64 + 64] = np.ascontiguousarray(packed).reshape(64, total * 8).view("<u8")
     lives = np.packbits(valid.reshape(total, 64), axis=1, bitorder="little").view("<u8").reshape(total)
     values = np.concatenate(groups)
     # a row meets its own word and the later words of its group
@@ -245,40 +255,41 @@ def _compare(values: np.ndarray, planes: np.ndarray, lives: np.ndarray, row_of:
             yield i[keep], j[keep]
 
 
-def forest(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each linked row in a group the root of its tree, as places in the groups' concatenation."""
-    parent = np.arange(sum(map(len, groups)))
-    for i, j in sliced_links(groups, radius):
-        while True:
-            a, b = parent[i], parent[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
-    moved = np.flatnonzero(parent != np.arange(len(parent)))
-    return moved, parent[moved]
+class Forest:
+    """Which of some rows are joined by the links seen so far."""
 
+    def __init__(self, n: int) -> None:
+        self.parent = np.arange(n)
 
-def spanning(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what all links of a group join, as places in the groups' concatenation; at most one a row."""
-    parent = np.arange(sum(map(len, groups)))
-    kept: list[tuple[np.ndarray, np.ndarray]] = [(parent[:0], parent[:0])]
-    for i, j in sliced_links(groups, radius):
+    def join(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the links that join what wasn't joined yet; at most one fewer than there are rows in all."""
+        parent, kept = self.parent, [(i[:0], j[:0])]
         while True:
             a, b = parent[i], parent[j]
             apart = a != b
             if not apart.any():
-                break
+                return np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             high, first = np.unique(np.maximum(a, b), return_index=True)
             parent[high] = np.minimum(a, b)[first]
             kept.append((i[first], j[first]))
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
-    return np.concatenate([i for i, _ in kept]), np.concatenate([j for _, j in kept])
+            self.parent = parent
+
+
+def spanning(groups: list[np.ndarray], radius: int, keep=None) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Links that join what all links of a group join, as places in the groups' concatenation; at most one a row.
+
+    keep: which of some linked pairs (i, j) count, as a mask."""
+    trees = Forest(sum(map(len, groups)))
+    found = [(trees.parent[:0], trees.parent[:0])]
+    for i, j in sliced_links(groups, radius):
+        if keep is not None:
+            wanted = keep(i, j)
+            i, j = i[wanted], j[wanted]
+        found.append(trees.join(i, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 # --- candidates ------------------------------------------------------------------------------------------------------
@@ -321,9 +332,33 @@ def radius_of(similarity: float, words: int, deviations: float) -> int:
     return max(0, round(n * share + deviations * math.sqrt(n * share * (1 - share))))
 
 
-def keyed_by_masks(classes: DataFrame, keys: list[Column]) -> DataFrame:
-    """classes with t and key, a row for each of the keys."""
-    return classes.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])).alias("k")).select(*classes.columns, "k.t", "k.key")
+def keyed_by_masks(classes: DataFrame, masks: list[int]) -> DataFrame:
+    """classes (node, fp0) with t and key, the fingerprint's bits under each mask."""
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp0").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
+    return classes.select("*", F.explode(keys).alias("k")).select(*classes.columns, "k.t", "k.key")
+
+
+def _parts(mask: int, radius: int) -> list[int]:
+    """The bits outside a mask in radius + 1 parts: two fingerprints within the radius agree on one of them."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(rest) * i // (radius + 1) for i in range(radius + 2)]
+    return [_signed(sum(1 << b for b in rest[s:e])) for s, e in itertools.pairwise(cuts)]
+
+
+def divided(keyed: DataFrame, masks: list[int], radius: int, chunk: int) -> DataFrame:
+    """keyed (node, fp0, t, key) with the members of buckets over SPLIT chunks under keys of more bits, radius + 1 each.
+
+    The new t holds the old one and the part's number, the new key the bits under the mask and the part."""
+    hot = _hot(keyed, ["t", "key"], SPLIT * chunk)
+    if hot is None:
+        return keyed
+    parts = F.array(*[F.array(*[F.lit(p) for p in _parts(m & (1 << 64) - 1, radius)]) for m in masks])
+    own = F.element_at(parts, F.col("t") + 1)
+    finer = F.transform(own, lambda m, i: F.struct((F.col("t") + F.lit(len(masks)) * (i + 1)).cast("int").alias("t"), F.col("key").bitwiseOR(F.col("fp0").bitwiseAND(m)).alias("key")))
+    same = F.array(F.struct(F.col("t").cast("int").alias("t"), F.col("key").alias("key")))
+    columns = [c for c in keyed.columns if c not in ("t", "key")]
+    dealt = keyed.join(hot, ["t", "key"], "left").select(*columns, F.explode(F.when(F.col("chunks").isNull(), same).otherwise(finer)).alias("k"))
+    return dealt.select(*columns, "k.t", "k.key")
 
 
 def keyed_by_bits(classes: DataFrame, bits: list[list[int]]) -> DataFrame:
@@ -341,18 +376,39 @@ def keyed_by_bits(classes: DataFrame, bits: list[list[int]]) -> DataFrame:
     return classes.mapInArrow(run, ", ".join(f"{c} bigint" for c in classes.columns) + ", t int, key bigint")
 
 
+def _hot(rows: DataFrame, keys: list[str], most: int, size: str | None = None, per: int = 1) -> DataFrame | None:
+    """keys and chunks of those with over `most` rows, broadcast if they are few; None if there are none.
+
+    size: a column whose sum counts besides, in chunks of `per`."""
+    chunks = F.ceil(F.count("*") / most)
+    if size is not None:
+        chunks = F.greatest(chunks, F.ceil(F.sum(size) / per))
+    return _few(rows.groupBy(*keys).agg(chunks.cast("int").alias("chunks")).where("chunks > 1"))
+
+
+def _few(hot: DataFrame) -> DataFrame | None:
+    hot = checkpoint(hot)
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= HOT_KEYS else hot
+
+
+def _in_chunks(rows: DataFrame, keys: list[str], hot: DataFrame | None, by: str) -> DataFrame:
+    """rows with lo and hi: a row of a key with n chunks is in n pairs of chunks, any other in one."""
+    if hot is None:
+        return rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    columns = [c for c in rows.columns if c not in keys]
+    one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
+    dealt = rows.join(hot, keys, "left").select(*keys, *columns, F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
+    return dealt.select(*keys, *columns, "p.lo", "p.hi")
+
+
 def grouped(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """of: lists of classes (structs of their columns) with an equal key; every two of these share some list."""
     columns = [c for c in keyed.columns if c not in ("t", "key")]
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > chunk)
-    hot = checkpoint(hot.select("t", "key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
-    if hot.count() <= HOT_KEYS:
-        hot = F.broadcast(hot)
-    one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
-    dealt = keyed.join(hot, ["t", "key"], "left").select("t", "key", *columns, F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)).alias("p"))
-    return dealt.groupBy("t", "key", "p.lo", "p.hi").agg(F.collect_list(F.struct(*columns)).alias("of")).where(F.size("of") > 1).select("of")
+    dealt = _in_chunks(keyed, ["t", "key"], _hot(keyed, ["t", "key"], chunk), "node")
+    return dealt.groupBy("t", "key", "lo", "hi").agg(F.collect_list(F.struct(*columns)).alias("of")).where(F.size("of") > 1).select("of")
 
 
 def _some_groups(batches: Iterator[pa.RecordBatch], rows: int = 16384) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -373,92 +429,163 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def linked(keyed: DataFrame, radius: int, chunk: int = CHUNK, trees=forest) -> DataFrame:  # noqa: ANN001
-    """Edges (a, b) between classes (node, fp0, ..., t, key) that join exactly what links inside equal keys join."""
+def linked(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between classes (node, fp0, t, key) that join exactly what links inside equal keys join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (nodes, *prints), ends in _some_groups(batches):
-            values = np.stack(prints, axis=1).view(np.uint64)
-            a, b = trees([values[s:e] for s, e in itertools.pairwise(ends)], radius)
+        for (nodes, prints), ends in _some_groups(batches):
+            values = prints.view(np.uint64)
+            a, b = spanning([values[s:e] for s, e in itertools.pairwise(ends)], radius)
             if len(a):
                 yield _edges(nodes[a], nodes[b])
 
     return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint")
 
 
+class Alike:
+    """Which pairs may have the similarity, by the numbers of their shingles and the bits in which they differ."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.radius, self.few = similarity, radius_of(similarity, WIDE, WIDER), radius_of(similarity, WIDE, WIDER_FEW)
+
+    def __call__(self, values: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        may = low >= self.similarity * high - 1e-6
+        may[may] = (high[may] <= FEW) | (np.bitwise_count(values[i[may]] ^ values[j[may]]).sum(axis=1) <= self.radius)
+        return may
+
+
 def candidates(keyed: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Distinct pairs (a, b) of classes (node, root, n, fp0, ..., t, key) of different roots that share a key, are within the
-    radius and whose numbers n of shingles allow the similarity."""
-    radius, few = radius_of(similarity, WIDE, WIDER), radius_of(similarity, WIDE, WIDER_FEW)
+    """Edges (a, b) that join what the candidate links between classes (node, n, fp0, ..., t, key) of equal keys join."""
+    alike = Alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (nodes, roots, n, *prints), ends in _some_groups(batches):
+        for (nodes, n, *prints), ends in _some_groups(batches):
             values = np.stack(prints, axis=1).view(np.uint64)
-            which = [np.arange(s, e) for s, e in itertools.pairwise(ends) if (roots[s:e] != roots[s]).any()]
-            place = np.concatenate(which) if which else None
-            for i, j in sliced_links([values[w] for w in which], few):
-                i, j = place[i], place[j]
-                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                may = (roots[i] != roots[j]) & (low >= similarity * high - 1e-6)
-                i, j, high = i[may], j[may], high[may]
-                near = (high <= FEW) | (np.bitwise_count(values[i] ^ values[j]).sum(axis=1) <= radius)
-                if near.any():
-                    a, b = nodes[i[near]], nodes[j[near]]
-                    yield _edges(np.maximum(a, b), np.minimum(a, b))
+            a, b = spanning([values[s:e] for s, e in itertools.pairwise(ends)], alike.few, lambda i, j: alike(values, n, i, j))
+            if len(a):
+                yield _edges(np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b]))
 
     return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have at least the similarity; classes: (node, _at), _at a row of
-    texts (_at, text) with the node's set."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = texts.join(nodes.join(classes.select("node", "_at"), "node").select("_at"), "_at", "left_semi")
-
-    def run(batch: pa.RecordBatch) -> dict:
+def verified_links(values: np.ndarray, sets: list[np.ndarray], alike: Alike) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs of the similarity join, of the candidate pairs between rows that aren't joined yet.
+
+    sets: the rows' distinct shingles, in order. A row's shingles are looked up in all its candidates' at once."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    trees, found = Forest(len(sets)), [(n[:0], n[:0])]
+    for i, j in sliced_links([values], alike.few):
+        may = alike(values, n, i, j)
+        i, j = i[may], j[may]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for s, e in itertools.pairwise(np.concatenate((np.flatnonzero(np.diff(i, prepend=-1)), [len(i)])).tolist()):
+            a, of = int(i[s]), j[s:e]
+            of = of[trees.parent[of] != trees.parent[a]]
+            if not len(of):
+                continue
+            flat = np.concatenate([sets[b] for b in of.tolist()])
+            ends = np.cumsum(n[of])
+            at = np.minimum(np.searchsorted(sets[a], flat), len(sets[a]) - 1)
+            both = np.add.reduceat((sets[a][at] == flat).astype(np.int64), ends - n[of])
+            of = of[both >= alike.similarity * (len(sets[a]) + n[of] - both)]
+            found.append(trees.join(np.full(len(of), a), of))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def verified(families: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, chunk: int) -> DataFrame:
+    """Edges (a, b) that join what the links inside families (node, root) join; two nodes are linked if their shingle sets
+    have the similarity. classes: (node, n); texts: (node, text), each node's among others."""
+    alike, names = Alike(similarity), [f"fp{w}" for w in range(WIDE)]
+    members = checkpoint(classes.select("node", "n").join(families, "node"))
+    dealt = _in_chunks(members, ["root"], _hot(members, ["root"], chunk, "n", CHUNK_SHINGLES), "node")
+    wanted = texts.join(dealt.groupBy("node").agg(F.collect_list(F.struct("root", "lo", "hi")).alias("to")), "node")
+
+    def cut(batch: pa.RecordBatch) -> dict:
         found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").to_pylist()]
-        return {"node": [_node(h) for h in found], "of": [h.view(np.int64) for h in found]}
-
-    sets = stored(map_texts(wanted, ["text"], run, "node bigint, of array<bigint>"))
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("of").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("of").alias("of_b")), "b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return met.where(both / (F.size("of_a") + F.size("of_b") - both) >= F.lit(similarity)).select("a", "b")
-
+        bits = [_set_bits(h, WIDE) for h in found]
+        return {"to": batch.column("to"), "node": batch.column("node"), "of": [h.astype("<u8").tobytes() for h in found]} | {name: [_signed(b[w]) for b in bits] for w, name in enumerate(names)}
+
+    place = "root:bigint,lo:int,hi:int"
+    sets = map_texts(wanted, ["node", "text", "to"], cut, f"to array<struct<{place}>>, node bigint, of binary, " + ", ".join(f"{c} bigint" for c in names))
+    rows = sets.select(F.explode("to").alias("to"), "node", "of", *names).select("to.root", "to.lo", "to.hi", "node", "of", *names)
+    keys = ["root", "lo", "hi"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        one = pa.Table.from_batches(held)
+        nodes = one.column("node").to_numpy()
+        values = np.stack([one.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        a, b = verified_links(values, [np.frombuffer(x.as_buffer(), np.uint64) for x in one.column("of")], alike)
+        return _edges(nodes[a], nodes[b]) if len(a) else None
 
-def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints (node, ...) with component_id; classes: (node, least), least the smallest id of the class."""
-    roots = components(edges)
-    rooted = classes.select("node", "least").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(names, "root").select("node", "component_id"), "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        before: tuple | None = None
+        for batch in batches:
+            own = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            cuts = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+            for s, e in itertools.pairwise([0, *cuts.tolist(), len(own)]):
+                if s == e:
+                    continue
+                if (now := tuple(own[s].tolist())) != before and held:
+                    if (out := compare(held)) is not None:
+                        yield out
+                    held = []
+                before = now
+                held.append(batch.slice(s, e - s))
+        if held and (out := compare(held)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _met(rows: DataFrame, values: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """rows joined with values, one row a key; rows of a hot key are dealt to as many tasks as it has chunks."""
+    if hot is None:
+        return rows.join(values, keys)
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.col("chunks")).cast("int")
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("chunks")
+    copies = values.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def _named(prints: DataFrame, classes: DataFrame, edges: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """prints with component_id; classes: (node, keys, least, copies), least the smallest id of those that have the keys."""
+    roots = checkpoint(components(edges))
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "least"), "node")
+    names = every.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = _met(every.select("node", "root"), names, ["root"], _hot(every, ["root"], chunk)).select("node", F.col("component_id").alias("_name"))
+    found = classes.select("node", "least", *[F.col(k).alias(f"_{k}") for k in keys]).join(named, "node", "left")
+    found = found.select(*[F.col(f"_{k}").alias(k) for k in keys], F.coalesce("_name", "least").alias("component_id"))
+    copied = classes.where(F.col("copies") > chunk).select(*keys, F.ceil(F.col("copies") / chunk).cast("int").alias("chunks"))
+    return _met(prints, found, keys, _few(copied))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, least: str = "doc_id") -> DataFrame:
     """Per row: doc_id, the columns of extra, fp0 and component_id, the smallest `least` of those it reaches over links."""
     if not 0 <= radius <= 6:
         raise ValueError("radius must be between 0 and 6")
-    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra).withColumn("node", F.col("fp0")))
-    classes = checkpoint(prints.groupBy("node", "fp0").agg(F.min(least).alias("least")))
-    keys = [F.col("fp0").bitwiseAND(F.lit(m)) for m in layout(radius, classes.count(), chunk)]
-    return _named(prints, classes, linked(keyed_by_masks(classes.select("node", "fp0"), keys), radius, chunk))
+    prints = checkpoint(fingerprints(docs, shingle, doc, text, extra))
+    classes = checkpoint(prints.groupBy("fp0").agg(F.min(least).alias("least"), F.count("*").alias("copies")).withColumn("node", F.col("fp0")))
+    masks = layout(radius, classes.count(), chunk)
+    keyed = divided(keyed_by_masks(classes.select("node", "fp0"), masks), masks, radius, chunk)
+    return _named(prints, classes, linked(keyed, radius, chunk), ["fp0"], chunk)
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: int = CHUNK, doc: str = "doc_id", text: str = "text", extra: list[Column] | None = None, least: str = "doc_id") -> DataFrame:
     """The same with links between texts whose sets of shingles have the Jaccard similarity; fp0, ... are wide.
 
     docs must be a stored table: texts to check are read again by their place in it."""
-    names, at = [f"fp{w}" for w in range(WIDE)], F.monotonically_increasing_id().alias("_at")
-    prints = checkpoint(wide_fingerprints(docs, shingle, doc, text, [*(extra or []), at]))
-    classes = checkpoint(prints.groupBy("node", "n", *names).agg(F.min(least).alias("least"), F.min("_at").alias("_at")))
-    texts = docs.select(F.col(text).alias("text"), at)
+    names, at = [f"fp{w}" for w in range(WIDE)], F.monotonically_increasing_id()
+    prints = checkpoint(wide_fingerprints(docs, shingle, doc, text, [*(extra or []), at.alias("_at")]))
+    classes = checkpoint(prints.groupBy("h1", "h2", "n", *names).agg(F.min(least).alias("least"), F.min("_at").alias("node"), F.count("*").alias("copies")))
+    texts = docs.select(F.col(text).alias("text"), at.alias("node"))
     bits = bands(similarity, WIDE, classes.count())
-    close = linked(keyed_by_bits(classes.select("node", *names), bits[:FIRST_KEYS]), radius_of(similarity, WIDE, -NARROWER), chunk, spanning)
-    close = checkpoint(close.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sure = checkpoint(verified(close, classes, texts, shingle, similarity))
-    roots = components(sure).withColumnRenamed("node", "_node")
-    rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
-    pairs = checkpoint(candidates(keyed_by_bits(rooted.select("node", "root", "n", *names), bits), similarity, chunk))
-    return _named(prints.drop("n", "_at"), classes, sure.unionByName(verified(pairs, classes, texts, shingle, similarity)))
+    found = components(candidates(keyed_by_bits(classes.select("node", "n", *names), bits), similarity, chunk))
+    families = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    return _named(prints.drop("n", "_at"), classes, verified(families, classes, texts, shingle, similarity, chunk), ["h1", "h2"], chunk)
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

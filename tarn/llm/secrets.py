@@ -1,21 +1,22 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is parsed on the driver into a Boolean trigram query: an OR of conjunctions of trigrams
-that any match must contain (letters lower-cased). The index holds postings (trigram, document) for the trigrams that
-some query asks for. A document is a candidate for a rule if, for one of the rule's conjunctions, it is in the postings
-of every trigram; only candidates are verified with the regular expression itself. A rule without mandatory trigrams
-(the hex rule) scans every text.
+that any match must contain (letters lower-cased). The index holds postings (trigram, document), taken from the texts'
+own trigrams in one pass, for the trigrams that some query asks for. A document is a candidate for a rule if, for one of
+the rule's conjunctions, it is in the postings of every trigram. Only candidates' texts meet the index and are verified
+with the regular expression itself; their spans go back to all documents by key, so that no other text ever travels. A
+rule without mandatory trigrams (the hex rule) scans every text where it is read.
 
 Positions come from the matches and the pieces between them, whose lengths add up to the offsets, in code points.
 
-Defined cases: a null or empty text has no spans; rows are verified each on its own, so repeated rows repeat; a null
-id is indexed like any other.
+Defined cases: a null or empty text has no spans; rows with the same id and text share an entry of the index and its
+spans, and are all returned; a null id is indexed like any other.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,70 +74,165 @@ def _of(strings: frozenset[str]) -> Query:
     return _least(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)) if strings else ANY
 
 
-def _parse(nodes: list) -> tuple[frozenset[str] | None, Query]:
-    """Of a sequence: all its exact strings, if they are few, and a query that each match satisfies."""
-    from re import _constants as c
-
-    exact: frozenset[str] | None = frozenset([""])
-    run, query, whole = frozenset([""]), ANY, True
-    for op, arg in nodes:
-        one, inner = _node(op, arg, c)
-        if one is not None and len(run) * len(one) <= EXACT:
-            run = frozenset(a + b for a in run for b in one)
-        else:
-            query, whole = _and(query, _of(run)), False
-            run = one if one is not None else frozenset([""])
-            query = _and(query, inner)
-    exact = run if whole else None
-    return exact, _and(query, _of(run))
-
-
-def _node(op: int, arg: object, c: object) -> tuple[frozenset[str] | None, Query]:
-    if op is c.LITERAL:
-        return frozenset([chr(arg).lower()]), ANY
-    if op is c.IN:
-        chars: set[str] = set()
-        for kind, value in arg:
-            if kind is c.LITERAL:
-                chars.add(chr(value).lower())
-            elif kind is c.RANGE and value[1] - value[0] < 8:
-                chars |= {chr(x).lower() for x in range(value[0], value[1] + 1)}
+class _Reader:
+    """Reads a regular expression. Of each part: all its exact strings, if they are few (else None), and a query that
+    every match satisfies. What it doesn't know counts as any text, which is safe."""
+
+    CLASSES = {"d": string.digits, "n": "\n", "t": "\t", "r": "\r"}
+
+    def __init__(self, regex: str) -> None:
+        self.regex, self.at = regex, 0
+
+    def _next(self, text: str) -> bool:
+        if self.regex.startswith(text, self.at):
+            self.at += len(text)
+            return True
+        return False
+
+    def _char(self) -> str:
+        self.at += 1
+        return self.regex[self.at - 1]
+
+    def whole(self) -> Query:
+        exact, query = self.alternatives()
+        if self.at < len(self.regex):
+            raise ValueError(f"unbalanced expression: {self.regex}")
+        query = _of(exact) if exact is not None else query
+        return ANY if frozenset() in query else query
+
+    def alternatives(self) -> tuple[frozenset[str] | None, Query]:
+        parts = [self.sequence()]
+        while self._next("|"):
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        strings = frozenset().union(*[e for e, _ in parts]) if all(e is not None for e, _ in parts) else None
+        query = _least(frozenset().union(*[q for _, q in parts]))
+        return (strings if strings is not None and len(strings) <= EXACT else None), query
+
+    def sequence(self) -> tuple[frozenset[str] | None, Query]:
+        run, query, whole = frozenset([""]), ANY, True
+        while self.at < len(self.regex) and self.regex[self.at] not in "|)":
+            exact, inner = self.repeated()
+            if exact is not None and len(run) * len(exact) <= EXACT:
+                run = frozenset(a + b for a in run for b in exact)
             else:
-                return None, ANY
-        return (frozenset(chars), ANY) if len(chars) <= 8 else (None, ANY)
-    if op is c.SUBPATTERN:
-        return _parse(arg[3])
-    if op is c.BRANCH:
-        parts = [_parse(x) for x in arg[1]]
-        together = frozenset().union(*[p[0] for p in parts]) if all(p[0] is not None for p in parts) else None
-        query = _least(frozenset().union(*[p[1] for p in parts]))
-        return (together, query) if together is not None and len(together) <= EXACT else (None, query)
-    if op in (c.MAX_REPEAT, c.MIN_REPEAT):
-        low, high, inside = arg
-        exact, query = _parse(inside)
+                query, whole = _and(_and(query, _of(run)), inner), False
+                run = exact if exact is not None else frozenset([""])
+        return (run if whole else None), _and(query, _of(run))
+
+    def repeated(self) -> tuple[frozenset[str] | None, Query]:
+        exact, query = self.atom()
+        low, high = 1, 1
+        if self._next("*"):
+            low, high = 0, None
+        elif self._next("+"):
+            high = None
+        elif self._next("?"):
+            low = 0
+        elif self._next("{"):
+            bounds = ""
+            while not self._next("}"):
+                bounds += self._char()
+            first, comma, last = bounds.partition(",")
+            low = int(first or 0)
+            high = (int(last) if last else None) if comma else low
+        else:
+            return exact, query
+        _ = self._next("?") or self._next("+")  # lazy or possessive: the same strings at most
         if low == 0:
             return (exact | {""}, ANY) if high == 1 and exact is not None else (None, ANY)
-        if low == high == 1:
-            return exact, query
-        return None, query
-    return (frozenset([""]), ANY) if op is c.AT else (None, ANY)
+        return (exact, query) if low == high == 1 else (None, query if exact is None else _of(exact))
+
+    def atom(self) -> tuple[frozenset[str] | None, Query]:
+        c = self._char()
+        if c == "(":
+            if self._next("?"):
+                flags = ""
+                while self.regex[self.at] not in ":)":
+                    flags += self._char()
+                if flags.strip(string.ascii_letters + "-"):  # looks ahead or behind, or names itself
+                    raise ValueError(f"only plain groups and flags are known: {self.regex}")
+                if self._char() == ")":
+                    return frozenset([""]), ANY
+            found = self.alternatives()
+            if not self._next(")"):
+                raise ValueError(f"unbalanced expression: {self.regex}")
+            return found
+        if c == "[":
+            return self._few(self.members())
+        if c in "^$":
+            return frozenset([""]), ANY
+        if c == ".":
+            return None, ANY
+        return self._few(self.escaped()) if c == "\\" else (frozenset([c.lower()]), ANY)
+
+    def escaped(self) -> str | None:
+        """The characters that an escape stands for; None if they are many."""
+        c = self._char()
+        if c == "x":
+            self.at += 2
+            return chr(int(self.regex[self.at - 2 : self.at], 16))
+        if c in string.ascii_letters + string.digits:
+            return "" if c in "bBAzZ" else self.CLASSES.get(c)
+        return c
+
+    def members(self) -> str | None:
+        """The characters of a class, whose first one may be a closing bracket; None if they are many."""
+        negated, chars, many, first = self._next("^"), "", False, True
+        while first or not self._next("]"):
+            first = False
+            c = self._char()
+            one = self.escaped() if c == "\\" else c
+            if one and self.regex.startswith("-", self.at) and self.regex[self.at + 1] != "]":
+                self.at += 1
+                last = self._char()
+                last = self.escaped() if last == "\\" else last
+                one = "".join(map(chr, range(ord(one), ord(last) + 1)))
+            many |= one is None
+            chars += one or ""
+        return None if negated or many else chars
+
+    @staticmethod
+    def _few(chars: str | None) -> tuple[frozenset[str] | None, Query]:
+        if chars == "":
+            return frozenset([""]), ANY
+        low = None if chars is None else frozenset(chars.lower())
+        return (low if low is not None and len(low) <= 8 else None), ANY
 
 
 def trigram_query(regex: str) -> Query:
     """An OR of conjunctions of trigrams; the empty conjunction means that every text must be scanned."""
-    exact, query = _parse(list(re._parser.parse(regex)))
-    query = _of(exact) if exact is not None else query
-    return ANY if frozenset() in query else query
+    return _Reader(regex).whole()
 
 
 # --- index and verification --------------------------------------------------------------------------------------------
 
 
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() else "\\" + c for c in text)
+
+
+def own_trigrams(text: Column, trigrams: list[str]) -> Column:
+    """Those of the trigrams that a text has, lower-cased: one pass of an expression that looks ahead at every place."""
+    by_first = itertools.groupby(sorted(trigrams), key=lambda t: t[0])
+    choices = "|".join(f"{_quoted(c)}(?:{'|'.join(_quoted(t[1:]) for t in of)})" for c, of in by_first)
+    found = F.regexp_extract_all(text, F.lit(f"(?i)(?=({choices}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, key): the documents (_key) whose lower-cased text contains each of the trigrams asked for."""
-    low = docs.select("_key", F.lower("text").alias("low"))
-    present = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("low"), t))
-    return low.select("_key", F.explode(present).alias("trigram"))
+    """(trigram, key): the documents (_key) whose text has each of the trigrams asked for."""
+    return docs.select("_key", F.explode(own_trigrams(F.col("text"), trigrams)).alias("trigram"))
+
+
+def holds(own: Column, query: Query) -> Column:
+    """Whether a document's trigrams satisfy a query."""
+    every = lambda c: F.size(F.array_intersect(own, F.array(*map(F.lit, sorted(c))))) == len(c)
+    flag = F.lit(False)
+    for conjunction in query:
+        flag = flag | every(conjunction)
+    return flag
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -192,16 +288,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE, *MORE), doc: str = "
     rows = docs.select(F.col(doc).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("_key", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h")))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) != ANY}
-    if queries:
-        trigrams = sorted(set(itertools.chain.from_iterable(itertools.chain.from_iterable(queries.values()))))
-        flagged = candidates(postings(rows, trigrams), queries)
-        rows = rows.join(flagged, "_key", "left")
     none = F.array().cast(_SPAN)
-    each = []
-    for n, rule in enumerate(rules):
-        may = F.coalesce(F.col(f"has_{rule.kind}"), F.lit(False)) if rule.kind in queries else F.col("text").rlike(rule.regex)
-        each.append(F.when(may, located(F.col("text"), rule, n)).otherwise(none))
-    return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
+    spans = lambda n, r, may: F.when(may, located(F.col("text"), r, n)).otherwise(none)
+    scanned = [spans(n, r, F.col("text").rlike(r.regex)) for n, r in enumerate(rules) if r.kind not in queries]
+    if not queries:
+        return rows.select("doc_id", F.array_sort(F.concat(*scanned)).alias("spans"))
+    trigrams = sorted(set(itertools.chain.from_iterable(itertools.chain.from_iterable(queries.values()))))
+    flagged = candidates(postings(rows, trigrams), queries)
+    likely = F.lit(False)
+    for q in queries.values():
+        likely = likely | holds(F.col("_own"), q)
+    # a text goes to meet the index only if it can be a candidate at all
+    texts = rows.withColumn("_own", own_trigrams(F.col("text"), trigrams)).where(likely).drop("_own")
+    verified = texts.join(flagged, "_key").select("_key", F.concat(*[spans(n, r, F.col(f"has_{r.kind}")) for n, r in enumerate(rules) if r.kind in queries]).alias("_found"))
+    verified = verified.groupBy("_key").agg(F.first("_found").alias("_found"))
+    own = rows.select("doc_id", "_key", (F.concat(*scanned) if scanned else none).alias("_scanned"))
+    return own.join(verified, "_key", "left").select("doc_id", F.array_sort(F.concat("_scanned", F.coalesce("_found", none))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -7,8 +7,9 @@ their fingerprints are told apart by a SHA-256 behind the bucket's value. So fin
 canonical texts are.
 
 The next document in the order of ids is found without sorting everything in one task: bounds at quantiles of the ids
-deal the rows out, each bucket also borrows the first row of the bucket after it, and a window inside each bucket does
-the rest.
+deal the rows out into cells, cells of many characters are divided evenly by id, and those of a null id or of an id with
+very many rows by hash. A window inside each bucket finds the next row; a bucket's last row meets the first one of the
+bucket after it by a join of one row a bucket.
 
 Defined cases: a null text is empty; rows go by id (null first), ties by hash of the text and then the text; a single
 row is followed by itself; repeated rows get rows of their own; an empty table gives no rows.
@@ -16,12 +17,14 @@ row is followed by itself; repeated rows get rows of their own; an empty table g
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import table
 
-#: Characters a bucket of neighbours aims at, and the bound on the number of quantiles.
+#: Characters a cell of neighbours aims at, and those beyond which it is divided; the bounds on the number of quantiles.
 BUCKET_CHARS, BUCKET_CHARS_MOST, QUANTILES, LEAST = 4_000_000, 64_000_000, 4096, 64
 
 
@@ -78,33 +81,47 @@ def told_apart() -> Column:
     return F.when(F.col("texts") > 1, F.concat(wide, F.lit("-"), F.lower(F.hex("sha")))).otherwise(wide)
 
 
-def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (key, text and carried) with columns next_*, those of the row after it; the last is followed by the first."""
-    plan = docs.agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("n")).first()
+def _buckets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with _hash, and _c and _s, whose order is that of key (null first) and _hash."""
+    plan = docs.agg(F.sum(F.length(text)).alias("chars"), F.min(key).alias("low"), F.max(key).alias("high")).first()
     chars = plan["chars"] or 0
     cells = min(QUANTILES, max(LEAST, chars // BUCKET_CHARS))
     subs = max(1, chars // (cells * BUCKET_CHARS_MOST))
-    at = [i / cells for i in range(1, cells)]
-    bounds = sorted(set(docs.agg(F.percentile_approx(key, at, 10 * cells)).first()[0] or []))
+    found = docs.agg(F.percentile_approx(key, [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
+    bounds = sorted({*found, plan["low"], plan["high"]} - {None})
+    hot = [b for b, n in Counter(found).items() if n > 1]  # ids with more rows than a cell should have
     cuts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    cell = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key))))
-    low, high = F.get(cuts, F.col("_cell") - 1), F.get(cuts, F.col("_cell"))
-    # a cell between two bounds is divided evenly; the outer cells aren't
-    share = (F.col(key) - low) / (high - low)
-    sub = F.when(low.isNull() | high.isNull() | (F.col("_cell") < 0), F.lit(0)).otherwise(F.least(F.floor(share * subs), F.lit(subs - 1)))
-    rows = docs.withColumn("_cell", cell).withColumn("_bucket", F.struct(F.col("_cell").alias("c"), sub.cast("int").alias("s"))).withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    order = F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("k"), F.col("_hash").alias("h"))
-    firsts = rows.groupBy("_bucket").agg(F.min(order).alias("_first"))
-    # one row a bucket; their number is bounded by the quantiles and the total size
-    line = Window.orderBy("_bucket")
-    firsts = firsts.select("_bucket", "_first", F.coalesce(F.lag("_bucket").over(line), F.last("_bucket").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_before"))
-    marked = rows.join(F.broadcast(firsts), "_bucket")
-    here = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("borrowed"))
-    lent = F.struct(F.col("_before").alias("b"), F.lit(True).alias("borrowed"))
-    dealt = marked.select(key, text, *carried, "_hash", F.explode(F.when(order == F.col("_first"), F.array(here, lent)).otherwise(F.array(here))).alias("_at"))
-    within = Window.partitionBy("_at.b").orderBy("_at.borrowed", F.col(key).asc_nulls_first(), "_hash", text)
-    following = [F.lead(c).over(within).alias(f"next_{c}") for c in (key, text, *carried)]
-    return dealt.select("*", *following).where(~F.col("_at.borrowed")).drop("_at", "_hash")
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    place = F.size(F.filter(cuts, lambda b: b < F.col(key)))
+    # an id with very many rows is the last of its cell and gets one of its own
+    rows = rows.withColumn("_place", place).withColumn("_hot", F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull())
+    low, high = F.get(cuts, F.col("_place") - 1), F.get(cuts, F.col("_place"))
+    by_id = F.least(F.floor((F.col(key) - low) / (high - low) * subs), F.lit(subs - 1))
+    by_hash = F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * cells)
+    cell = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(2 * F.col("_place") + F.col("_hot").cast("int"))
+    sub = F.when(F.col("_hot"), by_hash).when(low.isNull(), F.lit(0)).otherwise(by_id)
+    return rows.withColumns({"_c": cell, "_s": sub.cast("int")}).drop("_place", "_hot")
+
+
+def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs (key, text and carried) with columns next_*, those of the row after it; the last is followed by the first."""
+    columns = [key, text, *carried]
+    rows = _buckets(docs, key, text)
+    within = Window.partitionBy("_c", "_s").orderBy(F.col(key).asc_nulls_first(), "_hash", text)
+    lined = rows.select("_c", "_s", *columns, F.lead(F.struct(*columns)).over(within).alias("_next"), F.row_number().over(within).alias("_n"))
+    firsts = lined.where("_n = 1").select(F.col("_c").alias("_nc"), F.col("_s").alias("_ns"), F.struct(*columns).alias("_next"))
+    lasts = lined.where("_next IS NULL").drop("_next", "_n")
+    # the bucket after each one: in the same cell, or the first of the next cell, whose number is bounded by the quantiles
+    names = rows.select("_c", "_s").distinct()
+    cells = names.groupBy("_c").agg(F.min("_s").alias("_s0"))
+    line = Window.orderBy("_c")
+    onward = F.coalesce(F.lead(F.struct("_c", "_s0")).over(line), F.first(F.struct("_c", "_s0")).over(line))
+    cells = cells.select("_c", onward.alias("_o"))
+    inside = names.withColumn("_follows", F.lead("_s").over(Window.partitionBy("_c").orderBy("_s")))
+    after = inside.join(cells, "_c").select("_c", "_s", F.when(F.col("_follows").isNull(), F.col("_o._c")).otherwise(F.col("_c")).alias("_nc"), F.coalesce("_follows", "_o._s0").alias("_ns"))
+    crossing = lasts.join(after, ["_c", "_s"]).join(firsts, ["_nc", "_ns"])
+    every = lined.where("_next IS NOT NULL").select(*columns, "_next").unionByName(crossing.select(*columns, "_next"))
+    return every.select(*columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +132,21 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = with_next(rows, ["w1", "w2", "sha"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
-    paired = paired.select("doc_id", "w1", "w2", "sha", "next_w1", "next_w2", "next_sha", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    paired = paired.select("doc_id", "text", "w1", "w2", "sha", "next_text", "next_w1", "next_w2", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
     paired = paired.withColumn("edited_canon", canonical(F.col("edited")))
     e1, e2 = wide_hash(F.col("edited_canon"))
     paired = paired.withColumns({"e1": e1, "e2": e2, "e_sha": raw_sha(F.col("edited_canon")), "edited_sha256": raw_sha(F.col("edited"))})
-    same_hash = lambda a, b: (F.col("w1") == F.col(a)) & (F.col("w2") == F.col(b))
-    same = lambda a, b, sha: same_hash(a, b) & (F.col("sha") == F.col(sha))
+    # where hashes are equal, the canonical texts' bytes are compared
+    same = lambda a, b, other: F.when((F.col("w1") == F.col(a)) & (F.col("w2") == F.col(b)), canonical(F.col("text")) == other).otherwise(False)
     paired = paired.select(
-        "doc_id", "w1", "w2", "sha", "n_chars", "edited_sha256", "e1", "e2", same("e1", "e2", "e_sha").alias("near_edited"), same("next_w1", "next_w2", "next_sha").alias("near_next"),
-        F.when(same_hash("e1", "e2") & (F.col("sha") != F.col("e_sha")), F.lower(F.hex("e_sha"))).alias("apart"),
-    )
-    told, likeness = with_bucket(paired, docs), lambda c: F.when(F.col(c), 1.0).otherwise(0.0).alias(c)
-    edited_print = F.when(F.col("near_edited"), told_apart()).when(F.col("apart").isNotNull(), F.concat_ws("-", hex_of("e1", "e2"), "apart")).otherwise(hex_of("e1", "e2"))
-    return told.select(
+        "doc_id", "w1", "w2", "sha", "n_chars", "edited_sha256", "e1", "e2", "e_sha",
+        same("e1", "e2", F.col("edited_canon")).alias("near_edited"), same("next_w1", "next_w2", canonical(F.col("next_text"))).alias("near_next"))
+    known = buckets(docs).select(F.col("b1").alias("e1"), F.col("b2").alias("e2"), F.transform("of", lambda x: x["sha"]).alias("shas"))
+    met = with_bucket(paired, docs).join(known, ["e1", "e2"], "left")
+    likeness = lambda c: F.when(F.col(c), 1.0).otherwise(0.0).alias(c)
+    wide, others = hex_of("e1", "e2"), F.size(F.filter("shas", lambda x: x != F.col("e_sha")))
+    edited_print = F.when(F.col("shas").isNotNull() & (others > 0), F.concat(wide, F.lit("-"), F.lower(F.hex("e_sha")))).otherwise(wide)
+    return met.select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), told_apart().alias("fingerprint"), edited_print.alias("edited_fingerprint"),
         likeness("near_edited"), likeness("near_next"), "copies", "first_id",
     )

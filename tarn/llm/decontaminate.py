@@ -6,16 +6,18 @@ same rule on the document side selects the same k-gram of any shared window, so
 every shared span of `window` words or more; each hit is then extended to its window and compared word by word. An item
 of fewer words is one window, its own k-gram.
 
-The benchmark's index is broadcast in blocks of at most BLOCK_WORDS words, each matched against all documents; a
-benchmark beyond the bound takes several blocks, whose hits are merged by row.
+A benchmark of at most BLOCK_CHARS characters (and so half as many words) is broadcast as one index. A larger one stays
+distributed: its windows join the documents' kept fingerprints by shuffle, each document gathers the windows that share
+one with it, and is compared with those alone. Documents are read a fixed number of times, whatever the benchmark.
 
 Defined cases: a null or wordless text has no words and no hits; a wordless item never occurs; rows that repeat are
-judged each on its own; repeated item ids count once; a null item id is written as `null`; either table may be empty.
+judged each on its own, told apart by their place in the input, which must be a stored table if the benchmark is large;
+repeated item ids count once; a null item id is written as `null`; either table may be empty; a text may be very long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import _arrow_schema, sha256, sliced, table
 
 WINDOW, K = 10, 6
-#: Words of the benchmark in one broadcast block; about 200 MB of index at most.
-BLOCK_WORDS = 1_000_000
+#: Characters of a benchmark that is broadcast, at most a million words; about 200 MB of index at most.
+BLOCK_CHARS = 2_000_000
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -55,22 +57,33 @@ def kept_fingerprints(grid: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
+def windows_of(text: str | None, window: int) -> list[list[bytes]]:
+    """An item's windows; an item of fewer words is one."""
+    words = words_of(text)
+    size = min(window, len(words))
+    return [words[s : s + size] for s in range(len(words) - size + 1)] if words else []
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Words as numbers, without a vocabulary."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 class BenchmarkIndex:
-    """Fingerprints and windows of a block of benchmark items."""
+    """Fingerprints and windows of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, k: int = K) -> None:
-        self.k, self.vocabulary, self.names = k, {}, []
+    def __init__(self, items: list[tuple[str, list[list[bytes]]]], k: int = K) -> None:
+        """items: names with windows."""
+        self.k, self.vocabulary = k, {}
         windows: dict[int, dict[bytes, set[int]]] = {}
         numbers: dict[str, int] = {}
-        for name, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            n = numbers.setdefault(name, len(numbers))
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32)
-            size = min(window, len(ids))
-            for s in range(len(ids) - size + 1):
-                windows.setdefault(size, {}).setdefault(ids[s : s + size].tobytes(), set()).add(n)
+        for name, of in items:
+            for words in of:
+                n = numbers.setdefault(name, len(numbers))
+                ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32)
+                windows.setdefault(len(ids), {}).setdefault(ids.tobytes(), set()).add(n)
         self.names = list(numbers)
         self.windows = {size: {key: tuple(v) for key, v in found.items()} for size, found in windows.items()}
         self.fingerprints = {
@@ -102,97 +115,123 @@ class BenchmarkIndex:
         return hit, [self.names[i] for i in items]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> list[DataFrame]:
-    """The benchmark in parts that each stay within the broadcast bound; characters bound the words."""
+def _items(benchmark: DataFrame, item: str, text: str, block_chars: int) -> tuple[DataFrame, bool]:
+    """(item, text), and whether they are few enough to be broadcast."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // (block_words * 6)) or 1
-    if parts == 1:
-        return [rows]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [rows.where(part == i) for i in range(parts)]
+    # each row counts, so that their number is bounded, too
+    return rows, (rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16)).first()[0] or 0) <= block_chars
 
 
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>"
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS,
-    doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-) -> DataFrame:
-    """Per document: how many words it has and how many are inside benchmark windows, and the items concerned."""
-    if not 1 <= k <= window:
-        raise ValueError("k must be between 1 and window")
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item, item_text, block_words)
-    # rows are told apart by their place in the input, which is read once a block
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    if len(blocks) == 1:
-        return _match(spark, rows, _index(blocks[0], window, k), merge=False)
-    parts = [_match(spark, rows, _index(block, window, k), merge=True) for block in blocks]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part)
-    grouped = together.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    n_hit = F.size(F.array_distinct("hits"))
-    items = F.array_sort("items")
-    return grouped.select(
-        "doc_id", "n_words", n_hit.cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), items.alias("items"),
-    )
-
-
-def _index(block: DataFrame, window: int, k: int) -> BenchmarkIndex:
-    return BenchmarkIndex([(r["item"], r["text"]) for r in block.collect()], window, k)
-
-
-def _match(spark: SparkSession, rows: DataFrame, index: BenchmarkIndex, merge: bool) -> DataFrame:
-    """merge: with a number of each row and its hit words instead of counts."""
-    shared = spark.sparkContext.broadcast(index)
-    schema = "row bigint, doc_id bigint, n_words bigint, hits array<bigint>, items array<string>" if merge else SCHEMA
+def _judged(doc_id: int | None, words: list[bytes], index: BenchmarkIndex) -> tuple:
+    hit, items = index.hits(words)
+    items.sort()
+    n_hit = int(hit.sum())
+    return doc_id, len(words), n_hit, len(items), sha256(",".join(items).encode()), n_hit > 0, items
+
+
+def _rows_of(schema: str, per_batch: Callable[[pa.RecordBatch], list[tuple]]) -> Callable:
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = _arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in sliced(batches):
-            out: list[tuple] = []
-            for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = words_of(text)
-                hit, items = index.hits(words)
-                items.sort()
-                if merge:
-                    out.append((row, doc_id, len(words), np.flatnonzero(hit).tolist(), items))
-                else:
-                    n_hit = int(hit.sum())
-                    out.append((doc_id, len(words), n_hit, len(items), sha256(",".join(items).encode()), n_hit > 0, items))
-            columns = zip(*out, strict=True) if out else [[] for _ in arrow]
+            rows = per_batch(batch)
+            columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that have a word inside an occurring window, with their columns."""
-    for block in _blocks(benchmark, item, item_text, block_words):
-        docs = _without_hits(docs, _index(block, window, k), text)
-    return docs
-
+    return run
 
-def _without_hits(docs: DataFrame, index: BenchmarkIndex, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in sliced(batches):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield batch.filter(pa.array([not index.hits(words_of(t))[1] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_chars: int = BLOCK_CHARS,
+    doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """Per document: how many words it has and how many are inside benchmark windows, and the items concerned."""
+    if not 1 <= k <= window:
+        raise ValueError("k must be between 1 and window")
+    items, few = _items(benchmark, item, item_text, block_chars)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    if few:
+        shared = docs.sparkSession.sparkContext.broadcast(_index(items, window, k))
+        judge = lambda batch: [_judged(d, words_of(t), shared.value) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        return rows.select("doc_id", "text").mapInArrow(_rows_of(SCHEMA, judge), SCHEMA)
+    met = _shared_windows(rows, items, window, k)
+
+    def judge_own(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for d, t, found in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            out.append(_judged(d, words_of(t), BenchmarkIndex([(x["item"], [x["words"].split(b" ")]) for x in found or []], k)))
+        return out
+
+    return rows.join(met, "row", "left").select("doc_id", "text", "found").mapInArrow(_rows_of(SCHEMA, judge_own), SCHEMA)
+
+
+def _index(items: DataFrame, window: int, k: int) -> BenchmarkIndex:
+    return BenchmarkIndex([(r["item"], windows_of(r["text"], window)) for r in items.collect()], k)
+
+
+def _shared_windows(rows: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """(row, found): the benchmark's windows (item, words) that share a kept fingerprint with each document."""
+
+    def cut(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            of = windows_of(t, window)
+            if of:
+                kept = kept_fingerprints(np.stack([word_hashes(w) for w in of]), min(k, len(of[0])))
+                out += [(name, len(w), p, b" ".join(w)) for w, p in zip(of, kept.view(np.int64).tolist(), strict=True)]
+        return out
+
+    cuts = "item string, size int, print bigint, words binary"
+    windows = items.mapInArrow(_rows_of(cuts, cut), cuts).distinct()
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most as many as a window has words
+
+    def prints(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = word_hashes(words_of(t))
+            for size in sizes:
+                kept: set[int] = set()
+                for at in range(0, len(h) - size + 1, 1 << 16):
+                    n = min(1 << 16, len(h) - size + 1 - at)
+                    kept |= set(np.unique(kept_fingerprints(np.lib.stride_tricks.sliding_window_view(h[at : at + n + size - 1], size), min(k, size))).view(np.int64).tolist())
+                out += [(row, size, p) for p in kept]
+        return out
+
+    own = "row bigint, size int, print bigint"
+    told = rows.select("row", "text").mapInArrow(_rows_of(own, prints), own)
+    return told.join(windows, ["size", "print"]).groupBy("row").agg(F.collect_set(F.struct("item", "words")).alias("found"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_chars: int = BLOCK_CHARS, text: str = "text", item: str = "item_id", item_text: str = "text", most: int = 0) -> DataFrame:
+    """docs without those that have more than `most` words inside occurring windows, with their columns."""
+    items, few = _items(benchmark, item, item_text, block_chars)
+    if few:
+        shared = docs.sparkSession.sparkContext.broadcast(_index(items, window, k))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                yield batch.filter(pa.array([int(shared.value.hits(words_of(t))[0].sum()) <= most for t in texts], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    rows = docs.withColumn("_tarn_row", F.monotonically_increasing_id())
+    met = _shared_windows(rows.select(F.col("_tarn_row").alias("row"), F.col(text).alias("text")), items, window, k)
+    met = rows.select(F.col("_tarn_row").alias("row"), F.col(text).alias("text")).join(met, "row")
+
+    def hit(batch: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for row, t, found in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if int(BenchmarkIndex([(x["item"], [x["words"].split(b" ")]) for x in found], k).hits(words_of(t))[0].sum()) > most:
+                out.append((row,))
+        return out
+
+    gone = met.select("row", "text", "found").mapInArrow(_rows_of("row bigint", hit), "row bigint")
+    return rows.join(gone, F.col("_tarn_row") == F.col("row"), "left_anti").drop("_tarn_row")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

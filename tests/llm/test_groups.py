@@ -159,7 +159,7 @@ def plain_hits(text, items, window=10):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 20])
 def test_windows_against_brute_force(spark, block):
     r = random.Random(8)
     vocabulary = [f"v{i}" for i in range(12)] + ["É", "x9"]
@@ -175,13 +175,13 @@ def test_windows_against_brute_force(spark, block):
     docs += [(None, items[0][1]), (70, None), (71, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.items, x.items_sha256, x.contaminated) for x in decontaminate.decontaminate(df, bench, block_words=block).collect())
+    got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.items, x.items_sha256, x.contaminated) for x in decontaminate.decontaminate(df, bench, block_chars=block).collect())
     want = []
     for i, t in docs:
         n, h, names = plain_hits(t, items)
         want.append((str(i), n, h, names, hashlib.sha256(",".join(names).encode()).hexdigest(), h > 0))
     assert got == sorted(want)
-    clean = decontaminate.clean_documents(df, bench, block_words=block)
+    clean = decontaminate.clean_documents(df, bench, block_chars=block)
     assert clean.columns == df.columns and clean.count() == sum(not w[5] for w in want)
     assert decontaminate.decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0

@@ -4,8 +4,8 @@ A rule is (host, path, verdict). It fits its host and all subdomains if the url'
 The trie is walked from the last host label inwards; each host node that rules end in holds a second trie over the
 path's segments. Of the fitting rules the one on the deepest host wins, and on one host the longest path.
 
-The rules are broadcast once their count and length are known to be within RULE_BYTES; a larger list is refused with
-a message instead of being shipped to every executor.
+The rules are broadcast once their trie is known to be within RULE_BYTES, counting NODE_BYTES for each label and segment
+and each rule's own bytes; a larger list is refused with a message instead of being shipped to every executor.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; of rules with equal host
 and path the last one counts; a host is compared as it stands, port and user included; an empty path fits only rules
@@ -26,18 +26,19 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-RULE_BYTES = 64 << 20
+RULE_BYTES, NODE_BYTES = 256 << 20, 600
 
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
 class _Node:
-    __slots__ = ("children", "end", "open")
+    __slots__ = ("children", "end", "lengths", "open")
 
     def __init__(self) -> None:
         self.children: dict[str, _Node] = {}
         self.end = None  # of a host: the trie of its paths; of a path: the rule
-        self.open: list[tuple[str, tuple]] = []  # last segments that need not be whole, longest first
+        self.open: dict[str, tuple] = {}  # last segments that need not be whole
+        self.lengths: list[int] = []  # theirs, the longest first
 
 
 def segments(path: str) -> list[str]:
@@ -49,6 +50,7 @@ def segments(path: str) -> list[str]:
 class RuleTrie:
     def __init__(self, rules: list[tuple[str, str, str]]) -> None:
         self.root = _Node()
+        opened: dict[int, _Node] = {}
         for host, path, verdict in rules:
             node = self.root
             for label in reversed(host.translate(_UPPER).split(".")):
@@ -60,10 +62,13 @@ class RuleTrie:
                 if part.endswith("/"):
                     at = at.children.setdefault(part, _Node())
                 else:
-                    at.open = sorted([x for x in at.open if x[0] != part] + [(part, rule)], key=lambda x: -len(x[0]))
+                    at.open[part] = rule
+                    opened[id(at)] = at
                     break
             else:
                 at.end = rule
+        for node in opened.values():
+            node.lengths = sorted({len(x) for x in node.open}, reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """The rule and verdict of the longest match."""
@@ -80,7 +85,7 @@ class RuleTrie:
     def _path(at: _Node, parts: list[str]) -> tuple[str, str] | None:
         found = at.end
         for part in parts:
-            found = next((rule for start, rule in at.open if part.startswith(start)), found)
+            found = next((at.open[part[:n]] for n in at.lengths if part[:n] in at.open), found)
             at = at.children.get(part)
             if at is None:
                 break
@@ -101,7 +106,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
     """Per page: host, path, the rule that decides (or null) and the verdict; default where no rule fits."""
-    if sum(len(h) + len(p) + len(v) for h, p, v in rules) > RULE_BYTES:
+    if sum(len(f"{h}{p}{v}".encode()) + NODE_BYTES * (2 + h.count(".") + p.count("/")) for h, p, v in rules) > RULE_BYTES:
         raise ValueError(f"the rules exceed {RULE_BYTES} bytes; split the list by top-level label and filter in turns")
     shared = pages.sparkSession.sparkContext.broadcast(RuleTrie(list(rules)))
 

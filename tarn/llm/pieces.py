@@ -48,7 +48,8 @@ class CharacterMap:
         node = 0
         unit = units[0]
         node ^= (unit >> 10) << ((unit & 0x200) >> 6)
-        for n, byte in enumerate(data[at:], 1):
+        for n in range(1, len(data) - at + 1):
+            byte = data[at + n - 1]
             if byte == 0:
                 break
             node ^= byte
@@ -137,6 +138,7 @@ class Encoder:
         whole = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.add_dummy_prefix
         self.by_part = whole and proto.trainer_spec.model_type == 2 and not any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces)
         self.lengths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.unknown = proto.trainer_spec.unk_id
         self.memo: dict[str, list[int]] = {SPACE: [self.sp.piece_to_id(SPACE)]}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -167,7 +169,10 @@ class Encoder:
     def spans(self, text: str, ids: list[int]) -> np.ndarray:
         """Start and end of each piece in the text's UTF-8 bytes, as rows."""
         normalised, source = self.normaliser.aligned(text)
-        ends = np.cumsum(self.lengths[np.array(ids, np.int64)]) if ids else np.zeros(0, np.int64)
+        lengths = self.lengths[np.array(ids, np.int64)]
+        if self.unknown in ids:  # an unknown piece is as long as the run of characters that it stands for
+            lengths = np.array([n if i != self.unknown else len(p.encode()) for n, i, p in zip(lengths.tolist(), ids, self.sp.encode(text, out_type=str), strict=True)], np.int64)
+        ends = np.cumsum(lengths)
         if len(ids) and ends[-1] != len(normalised):
             raise ValueError("the pieces don't tile the normalised text")
         if not len(ids):

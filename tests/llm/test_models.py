@@ -315,20 +315,24 @@ def token_logs(model, texts):
     return model.log10(lm.Tokens(model.language, pa.array(texts, pa.string())))
 
 
+def ids_of(language):
+    return {w: i + 2 for i, w in enumerate(language.dictionary.to_pylist())}
+
+
 def plain_bits(language, text):
     """For each token of a text its bits: what each predictor knows as its context, the bit, and the kind."""
     common, words = b"\n", [*words_of(text), b"\n"]
     place = lambda code, symbol: [(int(code.path[at]), int(code.bits[at])) for at in code.spelled(np.array([symbol]))[1]]
     for i, w in enumerate(words):
         one = words[i - 1] if i else b"\n"
-        symbol = 0 if w == b"\n" else language.ids.get(w, 1)
+        symbol = 0 if w == b"\n" else ids_of(language).get(w, 1)
         token = [((("1", one, n), ("c", common, n)), b, 0, language.words.static[n]) for n, b in place(language.words, symbol)]
         if symbol == 1:
             line = (b"  " + one)[-3:] + b" " if i else b"  \n "
             for k, byte in enumerate(w + b" "):
                 s = line + (w + b" ")[:k]
                 token += [((("b", s[-3:], n), ("p", (w + b" ")[:k], n)), b, 1, language.bytes.static[n]) for n, b in place(language.bytes, byte)]
-        if w in language.ids and language.ids[w] < 2 + lm.FREQUENT or w == b"\n":
+        if ids_of(language).get(w, 1 << 30) < 2 + lm.FREQUENT or w == b"\n":
             common = w
         yield token
 
@@ -389,7 +393,7 @@ def test_probabilities_sum_up():
     """After the same words, all dictionary words, the end and the escape together; and all bytes of an escaped word."""
     language, _, model = learned(LM_TEXTS)
     first = token_logs(model, ["the cat"])
-    total = 10 ** first[-1] + sum(10 ** token_logs(model, ["the cat " + w.decode()])[2] for w in language.ids)
+    total = 10 ** first[-1] + sum(10 ** token_logs(model, ["the cat " + w.decode()])[2] for w in ids_of(language))
     bits = lm.Bits(lm.Tokens(language, pa.array(["the cat zz"])), 2, 3, model.slots)
     p = model.probabilities(bits)
     escape = np.prod(np.where(bits.value > 0, p, 1 - p)[: bits.words])
@@ -432,7 +436,7 @@ def test_scores_through_spark(spark, tmp_path):
     counts = Counter(w for t in train for w in [*words_of(t), b"\n"])
     language, _, model = learned(train, slots=min(lm.SLOTS, max(lm.LEAST_SLOTS, round(math.log2(sum(counts.values()))))), most=5)
     want = model.texts(pa.array(texts))
-    assert len(language.ids) <= 5 and np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+    assert len(language.dictionary) <= 5 and np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
     ordered, mixed = model.texts(pa.array(["the cat sat on mat", "mat on sat cat the"]))
     assert ordered > mixed
 

@@ -1,4 +1,7 @@
-"""Retrieval metrics, sweeps, audits and reports."""
+"""Retrieval metrics, sweeps, audits and reports.
+
+Defined cases: queries without a relevant document don't count; those without results count as 0; repeated judgments
+count once; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -11,16 +14,24 @@ CUTS = (1, 3, 5, 10, 20, 100, 1000)
 def retrieval(ranked: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS, by: tuple[str, ...] = ()) -> DataFrame:
     """k, ndcg, mrr, recall and map (binary) over queries with a relevant document; those without results count as 0.
 
-    by: columns of ranked that tell several lists apart (of a sweep); each has its own rows.
-    Only hits are looked at: a query's metrics depend on its hits' ranks and its number of relevant documents."""
-    keys = [*by, "query_id"]
+    by: columns of ranked that tell several lists apart (of a sweep); each has its own rows."""
     relevant = qrels.where("relevance > 0").select("query_id", "doc_id").distinct()
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    lists = ranked.select(*by).distinct() if by else None
-    hits = ranked.where(F.col("rank") <= max(cuts)).select(*by, "query_id", "doc_id", "rank").join(relevant, ["query_id", "doc_id"])
-    hits = hits.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
-    of = hits.groupBy(*keys).agg(F.collect_list(F.struct("rank", "i")).alias("h"))
-    all_ = total.crossJoin(F.broadcast(lists)) if by else total  # lists: one row for each list of a sweep
+    hits = ranked.join(relevant, ["query_id", "doc_id"])
+    return of_hits(hits, relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")), cuts, by, ranked.select(*by).distinct() if by else None)
+
+
+def of_hits(hits: DataFrame, totals: DataFrame, cuts: tuple[int, ...] = CUTS, by: tuple[str, ...] = (), lists: DataFrame | None = None) -> DataFrame:
+    """The same from hits (by, query_id, rank), one for each relevant document in a list, and totals (query_id, n_rel).
+
+    A query's metrics depend on its hits' ranks and its number of relevant documents only, so pairs of queries and
+    relevant documents are never needed. lists: the lists (by) there are, a row each; a query's may be without hits."""
+    keys = [*by, "query_id"]
+    inside_cuts = hits.where(F.col("rank") <= max(cuts)).select(*keys, "rank")
+    numbered = inside_cuts.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
+    of = numbered.groupBy(*keys).agg(F.collect_list(F.struct("rank", "i")).alias("h"))  # at most max(cuts) each
+    all_ = totals.where("n_rel > 0")
+    if by:
+        all_ = all_.crossJoin(F.broadcast(lists))  # the settings of a sweep
     rows = all_.join(of, keys, "left").select(*by, "n_rel", "h", F.explode(F.array(*[F.lit(k) for k in cuts])).alias("k"))
     inside = F.filter(F.coalesce("h", F.array().cast("array<struct<rank:int,i:int>>")), lambda x: x["rank"] <= F.col("k"))
     total_of = lambda f: F.aggregate(F.transform("inside", f), F.lit(0.0), lambda a, v: a + v)
@@ -36,8 +47,13 @@ def retrieval(ranked: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS,
 def rank_of_gold(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, gold_rank): the first rank of a relevant document, 0 if there is none in the list."""
     relevant = qrels.where("relevance > 0").select("query_id", "doc_id")
-    found = ranked.join(relevant, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("r"))
-    return relevant.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("r", F.lit(0)).alias("gold_rank"))
+    return first_hits(ranked.join(relevant, ["query_id", "doc_id"]), relevant.select("query_id").distinct())
+
+
+def first_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same from hits (query_id, rank)."""
+    found = hits.groupBy("query_id").agg(F.min("rank").alias("r"))
+    return queries.join(found, "query_id", "left").select("query_id", F.coalesce("r", F.lit(0)).alias("gold_rank"))
 
 
 def best_setting(scores: DataFrame, value: str, score: str, tie: str | None = None) -> DataFrame:
@@ -51,6 +67,14 @@ def plateau(scores: DataFrame, value: str, score: str, within: float = 0.001) ->
     return scores.crossJoin(F.broadcast(top)).where(F.col(score) >= F.col("top") - within).agg(F.min(value).alias(value))
 
 
+def adopted(scores: DataFrame, value: str, score: str, base: float | Column, tie: str | None = None) -> DataFrame:
+    """The best setting of a sweep with its gain over a base score, and whether it is adopted: only if it gains and isn't
+    the setting 0, which changes nothing."""
+    best = best_setting(scores, value, score, tie)
+    gain = F.round(F.col(score) - base, 5)
+    return best.withColumn("gain", gain).withColumn("decision", F.when((F.col("gain") > 0) & (F.col(value) > 0), "ADOPT").otherwise("REJECT"))
+
+
 def outcome_counts(runs: DataFrame) -> DataFrame:
     """Runs (source_format, kind, passed) counted by format and kind."""
     return runs.groupBy("source_format", "kind").agg(F.count("*").alias("n"), F.sum(F.col("passed").cast("int")).alias("passed"))

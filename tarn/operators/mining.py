@@ -1,4 +1,7 @@
-"""Splits, training pairs and hard negatives."""
+"""Splits, training pairs and hard negatives.
+
+Defined cases: ids that a side lacks fall away, null ones included; a query without negatives has no triple; ties of a
+hash go by nothing, as equal ids have equal hashes; either side may be empty."""
 
 from __future__ import annotations
 
@@ -23,8 +26,24 @@ def training_pairs(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> D
 
 def hard_negatives(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """The k best documents of each query that aren't relevant, with their place among them."""
-    rest = ranked.join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    return rest.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k)
+    return first_negatives(ranked.join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"), k)
+
+
+def first_negatives(irrelevant: DataFrame, k: int) -> DataFrame:
+    """The k best of ranked documents that are known not to be relevant, with their place among them."""
+    return irrelevant.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k)
+
+
+def with_neighbours_golds(negatives: DataFrame, neighbours: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, doc_id, place): negatives (query_id, doc_id, place) with the relevant documents of each query's neighbours
+    (query_id, other, place: the last one's come first) in front, unless they are relevant to the query itself or
+    negatives already. gold: (query_id, doc_id)."""
+    own = gold.select("query_id", "doc_id")
+    theirs = neighbours.join(own.select(F.col("query_id").alias("other"), "doc_id"), "other").groupBy("query_id", "doc_id").agg(F.min("place").alias("near"))
+    new = theirs.join(own, ["query_id", "doc_id"], "left_anti").join(negatives.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    rows = new.select("query_id", "doc_id", (-F.col("near")).alias("order")).unionByName(negatives.select("query_id", "doc_id", F.col("place").alias("order")))
+    # in front are orders below 0, the last neighbour's first; documents of one neighbour go by id
+    return rows.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "doc_id")).alias("place"))
 
 
 def cluster_neighbours(similar: DataFrame, low: float = 0.85, high: float = 0.999, first: int = 5) -> DataFrame:
@@ -36,5 +55,6 @@ def cluster_neighbours(similar: DataFrame, low: float = 0.85, high: float = 0.99
 def triples(pairs: DataFrame, negatives: DataFrame, first: int = 5, seed: int = 7) -> DataFrame:
     """(query_id, positive, negative): each relevant pair with one of its query's first negatives, chosen by hash."""
     few = negatives.where(F.col("place") <= first).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id"))).alias("n"))
-    pick: Column = F.pmod(F.xxhash64(F.lit(seed), "query_id", "doc_id"), F.size("n").cast("long")).cast("int")
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("doc_id").cast("string")), 256)
+    pick: Column = F.pmod(F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"), F.size("n"))
     return pairs.join(few, "query_id").select("query_id", F.col("doc_id").alias("positive"), F.get("n", pick)["doc_id"].alias("negative"))

@@ -3,7 +3,10 @@
 Each run is a child process with limits on wall clock, CPU seconds, memory and file size, in a temporary folder with an
 empty environment. Each Python worker keeps one process that has the usual modules loaded and forks a child for each run. Verification is a mapInPandas over pairs of query and program. Pairs are dealt by a program's code and
 a number, so a program that many queries ask for is spread over tasks; within a task a program's pairs follow one another
-in a fixed order, and it gets less time after two timeouts and none after four.
+in a fixed order, and it gets less time after two timeouts and none after four, whatever ids it goes by.
+
+Defined cases: a pair without examples has no run and a null status; a null program doesn't parse; repeated pairs are run
+each on its own; outputs beyond a megabyte are cut; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -159,8 +162,8 @@ def verify_pairs(pairs: DataFrame, salts: int = 8) -> DataFrame:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                if r.doc_id != last:
-                    patience, last = (Patience(), r.doc_id)
+                if r.code != last:
+                    patience, last = (Patience(), r.code)
                 examples = [(e["stdin"], e["expected"]) for e in r.examples] if r.examples is not None else []
                 runs = verify(r.code or "", examples, bool(r.any_order), patience) if examples else []
                 rows.append((r.query_id, r.doc_id, sum(x.matched for x in runs), len(examples), runs[0].status if runs else None, next(("wrong_output" if x.status == "ok" else x.status for x in runs if not x.matched), None), runs[0].stdout.strip() if runs else "", [x.status for x in runs], sum(x.runtime_ms for x in runs)))

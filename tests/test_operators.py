@@ -67,7 +67,8 @@ def test_faulty_and_cosmetic_versions():
     code = "n = int(input())\nfor i in range(n):\n    if i <= 3:\n        print(i + 1)\n"
     changed = {benchmark.faulty(code, s) for s in range(30)}
     assert len(changed) > 2 and code not in changed and all(programs.runnable(c)[0] for c in changed)
-    assert benchmark.faulty("x = 5", 1) is None
+    assert benchmark.faulty("pass", 1) is None and benchmark.faulty("def f(:", 1) is None
+    assert all(store.normalised(c) != store.normalised(code) for c in changed)
     assert store.normalised(benchmark.cosmetic(code, 3)) == store.normalised(code)
 
 

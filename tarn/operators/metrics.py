@@ -100,6 +100,14 @@ def deltas(rungs: DataFrame) -> DataFrame:
     return rungs.join(base, "base", "left").select("rung", "base", "score", F.round(F.col("score") - F.col("base_score"), 5).alias("delta"), F.when(F.col("score").isNull(), "not run").otherwise("run").alias("state"))
 
 
+def reproduced(recorded: DataFrame, measured: DataFrame, within: float = 0.002) -> DataFrame:
+    """Recorded scores (rung, metric, score) with those measured now, and whether they are as near as that; a rung that
+    wasn't measured says so."""
+    now = measured.select("rung", "metric", F.col("score").alias("now"))
+    rows = recorded.join(now, ["rung", "metric"], "left").withColumn("difference", F.round(F.col("now") - F.col("score"), 5))
+    return rows.withColumn("state", F.when(F.col("now").isNull(), "not run").when(F.abs("difference") <= within, "same").otherwise("differs"))
+
+
 METRICS = ("ndcg_at_10", "mrr_at_10", "map_at_10", "recall_at_10", "main_score")
 
 

@@ -2,6 +2,9 @@
 
 A ranked list has query_id, doc_id, score and rank; verdicts are passed in as columns or rows (passed of total), never
 worked out here.
+
+Defined cases: a query with one candidate has a null margin and is certain; without examples confidence is 0; equal scores
+keep the order of ranks; a query without candidates has no rows.
 """
 
 from __future__ import annotations
@@ -10,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DIGITS = 5
+
+
 def _by_query() -> WindowSpec:
     return Window.partitionBy("query_id")
 
 
-
 def margins(ranked: DataFrame, digits: int = DIGITS) -> DataFrame:
     """(query_id, margin): first minus second score; null, which is no margin to be uncertain about, with one score."""
     top = ranked.where("rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"))

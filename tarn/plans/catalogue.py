@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.plans import fixtures, ranking, texts  # noqa: F401  they register their queries
+from tarn.plans import extras, fixtures, ranking, texts  # noqa: F401  they register their queries
 from tarn.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -1,7 +1,11 @@
 """Tables that keep what was worked out: store, vectors, verdicts.
 
-A table is written to a folder of its own and named by a pointer file that is replaced at once, so readers never see
-half a table; appending writes further files only.
+A store's tables are written to a folder of their own and named by a pointer file that is replaced in one step, so that
+readers see the old tables or the new ones and a crash at any point leaves one of them; the tables before the last ones
+stay for those that still read them. A cache of results is a table that is only added to.
+
+Defined cases: keys are distinct, a null one is worked out each time; nothing wanted gives no rows; a folder without a
+store is an error.
 """
 
 from __future__ import annotations
@@ -26,15 +30,19 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
     fs, _ = _fs(spark, folder)
-    new, current = (spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (f"_{version}", "CURRENT"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, current = path(f"{folder}/_{version}"), path(f"{folder}/CURRENT")
     out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
     old = _current(spark, folder)
-    fs.delete(current, False)
-    fs.rename(new, current)
-    if old:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    replace = spark.sparkContext._gateway.new_array(options, 1)
+    replace[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(current), replace)
+    for status in fs.listStatus(path(folder)):
+        if status.isDirectory() and status.getPath().getName() not in (version, old):
+            fs.delete(status.getPath(), True)
 
 
 def _current(spark: SparkSession, folder: str) -> str | None:

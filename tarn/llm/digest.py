@@ -8,8 +8,9 @@ canonical texts are.
 
 The next document in the order of ids is found without sorting everything in one task: bounds at quantiles of the ids
 deal the rows out into cells, cells of many characters are divided evenly by id, and those of a null id or of an id with
-very many rows by hash. A window inside each bucket finds the next row; a bucket's last row meets the first one of the
-bucket after it by a join of one row a bucket.
+very many rows by hash. There are at most QUANTILES times SUBS buckets and QUANTILES for null ids, whatever the input, so
+their first rows' places in the order (no texts) can be broadcast: each bucket also borrows the first row of the bucket
+after it, and a window inside each bucket does the rest.
 
 Defined cases: a null text is empty; rows go by id (null first), ties by hash of the text and then the text; a single
 row is followed by itself; repeated rows get rows of their own; an empty table gives no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import table
 
 #: Characters a cell of neighbours aims at, and those beyond which it is divided; the bounds on the number of quantiles.
-BUCKET_CHARS, BUCKET_CHARS_MOST, QUANTILES, LEAST = 4_000_000, 64_000_000, 4096, 64
+BUCKET_CHARS, BUCKET_CHARS_MOST, QUANTILES, SUBS, LEAST = 4_000_000, 64_000_000, 4096, 64, 64
 
 
 def canonical(text: Column) -> Column:
@@ -86,42 +87,46 @@ def _buckets(docs: DataFrame, key: str, text: str) -> DataFrame:
     plan = docs.agg(F.sum(F.length(text)).alias("chars"), F.min(key).alias("low"), F.max(key).alias("high")).first()
     chars = plan["chars"] or 0
     cells = min(QUANTILES, max(LEAST, chars // BUCKET_CHARS))
-    subs = max(1, chars // (cells * BUCKET_CHARS_MOST))
+    subs = min(SUBS, max(1, chars // (cells * BUCKET_CHARS_MOST)))
     found = docs.agg(F.percentile_approx(key, [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
     bounds = sorted({*found, plan["low"], plan["high"]} - {None})
-    hot = [b for b, n in Counter(found).items() if n > 1]  # ids with more rows than a cell should have
+    hot = {b: n * subs for b, n in Counter(found).items() if n > 1}  # ids with more rows than a cell should have
     cuts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     place = F.size(F.filter(cuts, lambda b: b < F.col(key)))
     # an id with very many rows is the last of its cell and gets one of its own
-    rows = rows.withColumn("_place", place).withColumn("_hot", F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull())
+    parts = F.when(F.col(key).isNull(), F.lit(cells))
+    if hot:
+        parts = parts.otherwise(F.element_at(F.map_from_arrays(F.array(*map(F.lit, hot)), F.array(*map(F.lit, hot.values()))), F.col(key)))
+    rows = rows.withColumns({"_place": place, "_parts": parts})
     low, high = F.get(cuts, F.col("_place") - 1), F.get(cuts, F.col("_place"))
     by_id = F.least(F.floor((F.col(key) - low) / (high - low) * subs), F.lit(subs - 1))
-    by_hash = F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * cells)
-    cell = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(2 * F.col("_place") + F.col("_hot").cast("int"))
-    sub = F.when(F.col("_hot"), by_hash).when(low.isNull(), F.lit(0)).otherwise(by_id)
-    return rows.withColumns({"_c": cell, "_s": sub.cast("int")}).drop("_place", "_hot")
+    by_hash = F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * F.col("_parts"))
+    cell = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(2 * F.col("_place") + F.col("_parts").isNotNull().cast("int"))
+    sub = F.when(F.col("_parts").isNotNull(), by_hash).when(low.isNull(), F.lit(0)).otherwise(by_id)
+    return rows.withColumns({"_c": cell, "_s": sub.cast("int")}).drop("_place", "_parts")
 
 
 def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs (key, text and carried) with columns next_*, those of the row after it; the last is followed by the first."""
     columns = [key, text, *carried]
     rows = _buckets(docs, key, text)
-    within = Window.partitionBy("_c", "_s").orderBy(F.col(key).asc_nulls_first(), "_hash", text)
-    lined = rows.select("_c", "_s", *columns, F.lead(F.struct(*columns)).over(within).alias("_next"), F.row_number().over(within).alias("_n"))
-    firsts = lined.where("_n = 1").select(F.col("_c").alias("_nc"), F.col("_s").alias("_ns"), F.struct(*columns).alias("_next"))
-    lasts = lined.where("_next IS NULL").drop("_next", "_n")
-    # the bucket after each one: in the same cell, or the first of the next cell, whose number is bounded by the quantiles
-    names = rows.select("_c", "_s").distinct()
-    cells = names.groupBy("_c").agg(F.min("_s").alias("_s0"))
-    line = Window.orderBy("_c")
-    onward = F.coalesce(F.lead(F.struct("_c", "_s0")).over(line), F.first(F.struct("_c", "_s0")).over(line))
-    cells = cells.select("_c", onward.alias("_o"))
-    inside = names.withColumn("_follows", F.lead("_s").over(Window.partitionBy("_c").orderBy("_s")))
-    after = inside.join(cells, "_c").select("_c", "_s", F.when(F.col("_follows").isNull(), F.col("_o._c")).otherwise(F.col("_c")).alias("_nc"), F.coalesce("_follows", "_o._s0").alias("_ns"))
-    crossing = lasts.join(after, ["_c", "_s"]).join(firsts, ["_nc", "_ns"])
-    every = lined.where("_next IS NOT NULL").select(*columns, "_next").unionByName(crossing.select(*columns, "_next"))
-    return every.select(*columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    order = F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("k"), F.col("_hash").alias("h"))
+    names = rows.groupBy("_c", "_s").agg(F.min(order).alias("_first"))
+    # the bucket before each one: in the same cell, or the last of the cell before
+    cells = names.groupBy("_c").agg(F.max("_s").alias("_s"))
+    line, last = Window.orderBy("_c"), F.struct("_c", "_s")
+    cells = cells.select("_c", F.coalesce(F.lag(last).over(line), F.last(last).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_far"))
+    near = F.lag("_s").over(Window.partitionBy("_c").orderBy("_s"))
+    names = names.withColumn("_near", near).join(cells, "_c")
+    names = names.select("_c", "_s", "_first", F.when(F.col("_near").isNull(), F.col("_far")).otherwise(F.struct("_c", F.col("_near").alias("_s"))).alias("_before"))
+    marked = rows.join(F.broadcast(names), ["_c", "_s"])
+    here = F.struct(F.col("_c"), F.col("_s"), F.lit(False).alias("borrowed"))
+    lent = F.struct(F.col("_before._c").alias("_c"), F.col("_before._s").alias("_s"), F.lit(True).alias("borrowed"))
+    dealt = marked.select(*columns, "_hash", F.explode(F.when(order == F.col("_first"), F.array(here, lent)).otherwise(F.array(here))).alias("_at"))
+    within = Window.partitionBy("_at._c", "_at._s").orderBy("_at.borrowed", F.col(key).asc_nulls_first(), "_hash", text)
+    following = [F.lead(c).over(within).alias(f"next_{c}") for c in columns]
+    return dealt.select("*", *following).where(~F.col("_at.borrowed")).drop("_at", "_hash")
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,57 @@ def test_next_document(spark, tmp_path, n):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_next_document_of_hot_ids(spark, tmp_path):
+    """Most rows have one id, or none: they are dealt out by hash and still follow one another."""
+    r = random.Random(3)
+    rows = [(7, f"seven {r.random()}") for _ in range(300)] + [(None, f"none {r.random()}") for _ in range(200)] + [(i, f"own {i}") for i in range(-20, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = digest.with_next(df, []).collect()
+    h = {t: x for t, x in df.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]], x[1]))
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*a, *b)) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    buckets = digest._buckets(df, "doc_id", "text").groupBy("_c", "_s").count()
+    assert max(x["count"] for x in buckets.collect()) < 60
+
+
+def check_fingerprints(spark, tmp_path, rows):
+    """The query of all documents against a plain version."""
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("clash")).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = digest.op7_document_fingerprints(spark, str(tmp_path)).collect()
+    h = {t: x for t, x in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.xxhash64("text")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]], x[1]))
+    copies, want, prints = {}, [], {}
+    for _, t in order:
+        copies[canon(t)] = copies.get(canon(t), 0) + 1
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canon(edited) == canon(t)), float(canon(after) == canon(t)), copies[canon(t)], canon(t), canon(edited)))
+    got = sorted(((str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.copies), r.fingerprint, r.edited_fingerprint) for r in got)
+    want.sort()
+    assert [g[0] for g in got] == [w[:6] for w in want]
+    for (_, own, edited), w in zip(got, want, strict=True):
+        for c, p in ((w[6], own), (w[7], edited)):
+            assert prints.setdefault(c, p) == p, c
+    return prints
+
+
+def test_query_of_fingerprints(spark, tmp_path):
+    """Every column; equal canonical texts have equal fingerprints and others don't, the edited ones' included."""
+    r = random.Random(11)
+    texts = ["Straße  ÉÈ", "STRASSE éè", "ﬁn", "FIN", "", None, " \t", "a", "ab", "AB", "x" * 70_000, "y " * 30_000] + ["".join(r.choices("aB \u00e9", k=r.randrange(12))) for _ in range(60)]
+    rows = [(i * 3 % 71, t) for i, t in enumerate(texts)] + [(500 + i, "the same text") for i in range(12)] + [(None, "no id"), (5, "ab"), (5, "ab")]
+    prints = check_fingerprints(spark, tmp_path, rows)
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_edited_texts_of_one_hash_are_told_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(digest, "wide_hash", lambda c: [(F.length(c) * 0).cast("long").alias("w1"), F.lit(0).cast("long").alias("w2")])
+    prints = check_fingerprints(spark, tmp_path, [(1, "abcd"), (2, "abcd"), (3, "efgh"), (4, "")])
+    assert len(set(prints.values())) == len(prints)
+
+
 def test_native_plans(spark):
     plan = digest.op7_document_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

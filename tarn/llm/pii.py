@@ -3,10 +3,11 @@
 Every whole text gives base spans (exact patterns with their checks) and candidates, spans of looser patterns of the
 same kinds and of kinds of their own. Labelers vote on each candidate, for, against or not at all: regex labelers
 (format and check digits), gazetteer labelers (top-level domains, calling codes, card prefixes, reserved values) and
-context labelers (words before the span, what surrounds it). A candidate is reduced to its votes and a few coarse
-features; how often each such pattern occurs over all documents is the only thing gathered, and the number of patterns
-is bounded by the number of labelers. Expectation-maximisation over the patterns estimates each labeler's reliability
-without labels, and its posteriors train the span classifier, a logistic regression that decides each pattern.
+context labelers (words before the span, what surrounds it). A candidate is reduced to its votes and to coarse features
+of the span that no labeler looks at; how often each such pattern occurs over all documents is the only thing gathered,
+at most 6 kinds times 3^6 votes times 108 features, whatever the input. Expectation-maximisation over the votes estimates
+each labeler's reliability without labels, from the belief that one candidate in ten is personal data; its posteriors
+train the span classifier, a logistic regression on votes and features, which alone decides each pattern.
 
 Base spans always stay; a candidate that the classifier accepts is added unless it meets a base span or an earlier
 added one.
@@ -33,8 +34,8 @@ from tarn.llm.common import _arrow_schema, checkpoint, sha256, sliced, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-#: Votes and features make fewer patterns than this; more means that a labeler isn't discrete.
-PATTERNS = 100_000
+#: What is believed before: the accuracy of a labeler, the share of candidates that are personal data.
+ACCURACY, SHARE = 0.8, 0.1
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -165,44 +166,54 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return form, check, gazetteer, context, neighbour, shape
 
 
+def features(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
+    """What else there is of a span, in few steps: its length, the share of digits, kinds of separators, what it follows."""
+    span = text[start:end]
+    digits = sum(c in "0123456789" for c in span)
+    separators = len({c for c in span if not c.isalnum()})
+    before = text[start - 1 : start] if start else "\n"
+    return min(2, len(span) // 16), 3 * digits // (len(span) + 1), min(3, separators), 2 if before in ":=\"'(<[" else 1 if before.isspace() else 0
+
+
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...]]
+
+
 class SpanClassifier:
     """Labeler reliabilities by expectation-maximisation, and the classifier trained on their posteriors."""
 
-    def __init__(self, counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 50) -> None:
+    def __init__(self, counts: dict[Pattern, int], rounds: int = 50) -> None:
+        """counts: of each kind, votes and features how many candidates have them."""
         self.reliability: dict[str, np.ndarray] = {}
-        self.accepted: set[tuple[str, tuple[int, ...]]] = set()
+        self.accepted: set[Pattern] = set()
         for kind in KINDS:
-            patterns = [v for k, v in counts if k == kind]
+            patterns = sorted(p for p in counts if p[0] == kind)
             if patterns:
-                patterns.sort()
-                x = np.array(patterns, np.float64)
-                n = np.array([counts[kind, v] for v in patterns], np.float64)
-                accuracy, prior, posterior = self._em(x, n, rounds)
-                self.reliability[kind] = accuracy
-                p = self._logistic(x, n, posterior)
-                # more for than against is required besides, so that a lone pattern can't carry itself
-                self.accepted |= {(kind, v) for v, q, s in zip(patterns, p, x.sum(axis=1), strict=True) if q >= 0.5 and s >= 2}
+                x = np.array([p[1] for p in patterns], np.float64)
+                n = np.array([counts[p] for p in patterns], np.float64)
+                self.reliability[kind], posterior = self._em(x, n, rounds)
+                p = self._logistic(x, np.array([p[2] for p in patterns], np.float64), n, posterior)
+                self.accepted |= {pattern for pattern, q in zip(patterns, p, strict=True) if q >= 0.5}
 
     @staticmethod
-    def _em(x: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
-        """Accuracy of each labeler where it votes, share of true candidates, posterior of each pattern.
+    def _em(x: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Accuracy of each labeler where it votes, and the posterior of each pattern.
 
-        Ten pseudo-votes at an accuracy of 0.8, and ten candidates at a share of a half, stand for what is believed
-        before; accuracies stay over 0.5, which keeps the two classes from changing places."""
-        accuracy, prior = np.full(x.shape[1], 0.8), 0.5
-        cast = np.abs(x)
+        Ten votes of the accuracy, and as many candidates of the share as there are, stand for what is believed before;
+        accuracies stay over 0.5, which keeps the two classes from changing places."""
+        accuracy, prior = np.full(x.shape[1], ACCURACY), SHARE
+        cast, believed = np.abs(x), max(10.0, n.sum())
         for _ in range(rounds):
             odds = np.log(accuracy / (1 - accuracy))
             posterior = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + x @ odds)))
             right = (n[:, None] * np.where(x > 0, posterior[:, None], np.where(x < 0, 1 - posterior[:, None], 0))).sum(axis=0)
-            accuracy = np.clip((right + 8) / ((n[:, None] * cast).sum(axis=0) + 10), 0.55, 0.99)
-            prior = float(np.clip(((n * posterior).sum() + 5) / (n.sum() + 10), 0.02, 0.98))
-        return accuracy, prior, posterior
+            accuracy = np.clip((right + 10 * ACCURACY) / ((n[:, None] * cast).sum(axis=0) + 10), 0.55, 0.99)
+            prior = float(np.clip(((n * posterior).sum() + believed * SHARE) / (n.sum() + believed), 0.02, 0.98))
+        return accuracy, posterior
 
     @staticmethod
-    def _logistic(x: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """Ridge logistic regression on votes for, votes against and their sum, by Newton steps."""
-        f = np.concatenate([x > 0, x < 0, x.sum(axis=1, keepdims=True), np.ones((len(x), 1))], axis=1).astype(np.float64)
+    def _logistic(x: np.ndarray, more: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = 30) -> np.ndarray:
+        """Ridge logistic regression on votes for, votes against, their sum and the features, by Newton steps."""
+        f = np.concatenate([x > 0, x < 0, x.sum(axis=1, keepdims=True), more, np.ones((len(x), 1))], axis=1).astype(np.float64)
         weights, w = n / n.sum() * len(n), np.zeros(f.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
@@ -212,17 +223,13 @@ class SpanClassifier:
         return 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
 
 
-def _encode(kind: str, vote: tuple[int, ...]) -> str:
-    return kind + ":" + "".join("-0+"[v + 1] for v in vote)
+def _encode(kind: str, vote: tuple[int, ...], more: tuple[int, ...]) -> str:
+    return f"{kind}:{''.join('-0+'[v + 1] for v in vote)}:{''.join(map(str, more))}"
 
 
-def _decode(pattern: str) -> tuple[str, tuple[int, ...]]:
-    kind, _, vote = pattern.partition(":")
-    return kind, tuple("-0+".index(c) - 1 for c in vote)
-
-
-def pattern_bound() -> int:
-    return len(KINDS) * 3 ** len(LABELERS)
+def _decode(pattern: str) -> Pattern:
+    kind, vote, more = pattern.split(":")
+    return kind, tuple("-0+".index(c) - 1 for c in vote), tuple(map(int, more))
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
@@ -230,7 +237,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if not text:
         return [], []
     base = base_spans(text)
-    return base, [(k, s, e, _encode(k, votes(text, k, s, e))) for k, s, e in candidates(text, base)]
+    return base, [(k, s, e, _encode(k, votes(text, k, s, e), features(text, k, s, e))) for k, s, e in candidates(text, base)]
 
 
 def merged(base: list[tuple[str, int, int]], found: list[tuple[str, int, int, str]], accepted: set[str] | frozenset[str]) -> list[tuple[str, int, int]]:
@@ -249,8 +256,6 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def learn(patterns: DataFrame) -> frozenset[str]:
     """The patterns (column pattern, any number of rows) that the classifier accepts."""
-    if pattern_bound() > PATTERNS:
-        raise ValueError("too many possible patterns")
     counts = {_decode(r["pattern"]): r["count"] for r in patterns.groupBy("pattern").count().collect()}
     return frozenset(_encode(*p) for p in SpanClassifier(counts).accepted)
 
@@ -328,5 +333,3 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document."""
     return detect(table(spark, sf_dir, "documents"))
-
-

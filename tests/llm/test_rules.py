@@ -1,13 +1,16 @@
 """URL filters, secrets, personal data: against brute force, and the defined cases."""
 
 import hashlib
+import math
 import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarn.llm import pii, secrets, urls
 from tarn.llm.queries import ORACLES, QUERIES
@@ -46,6 +49,18 @@ def test_url_cases(spark):
         urls.filter_urls(df, [("x" * urls.RULE_BYTES, "/", "block")])
 
 
+def test_long_urls_and_many_rules(spark):
+    """Thousands of rules of one host and very long urls, against all rules."""
+    rules = [("h.net", f"/p{i}", "block" if i % 2 else "allow") for i in range(5000)] + [("h.net", "/" + "d/" * 2000, "block")]
+    trie = urls.RuleTrie(rules)
+    for path in ("/p12", "/p4999x", "/p", "/q", "/p7/" + "a/" * 30_000, "/" + "d/" * 2500, "/p" + "1" * 100_000):
+        fit = [(len(p), h + p, v) for h, p, v in rules if path.startswith(p)]
+        assert trie.match("h.net", path) == (max(fit)[1:] if fit else None), path[:20]
+    df = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "net/x"), (2, None)], "page_id long, url string").withColumn("key", F.lit(1)).withColumn("host", F.lit("clash"))
+    got = {r.page_id: (len(r.host), r.verdict) for r in urls.filter_urls(df, list(urls.RULES)).collect()}
+    assert got == {1: (40_003, "block"), 2: (0, "allow")}
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 PLAIN = {
@@ -79,11 +94,68 @@ def test_em_finds_the_reliable_labeler():
     counts = {}
     for true, n in ((1, 300), (-1, 300)):
         for right, share in ((1, 0.9), (-1, 0.1)):
-            counts["phone", (true, true, true * right, 0, 0, 0)] = counts.get(("phone", (true, true, true * right, 0, 0, 0)), 0) + int(n * share)
+            key = ("phone", (true, true, true * right, 0, 0, 0), (0, 0, 0, 0))
+            counts[key] = counts.get(key, 0) + int(n * share)
     c = pii.SpanClassifier(counts)
     accuracy = c.reliability["phone"]
     assert accuracy[0] > accuracy[2] > 0.8
-    assert ("phone", (1, 1, 1, 0, 0, 0)) in c.accepted and ("phone", (-1, -1, -1, 0, 0, 0)) not in c.accepted
+    assert ("phone", (1, 1, 1, 0, 0, 0), (0, 0, 0, 0)) in c.accepted and ("phone", (-1, -1, -1, 0, 0, 0), (0, 0, 0, 0)) not in c.accepted
+
+
+def test_one_vote_alone_is_not_believed():
+    c = pii.SpanClassifier({("ssn", (1, 0, 0, 0, 0, 0), (0, 1, 1, 1)): 500})
+    assert not c.accepted
+
+
+def plain_classifier(candidates):
+    """Candidates (kind, votes, features), one by one instead of by pattern: EM by loops, the regression by many small
+    steps. Which kinds of candidates are accepted."""
+    accepted = set()
+    for kind in {c[0] for c in candidates}:
+        own = [c for c in candidates if c[0] == kind]
+        accuracy, prior = [0.8] * 6, 0.1
+        for _ in range(50):
+            post = []
+            for _, v, _ in own:
+                z = math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, accuracy, strict=True))
+                post.append(1 / (1 + math.exp(-z)))
+            for k in range(6):
+                right = sum(p if v[k] > 0 else 1 - p for p, (_, v, _) in zip(post, own, strict=True) if v[k])
+                accuracy[k] = min(0.99, max(0.55, (right + 8) / (sum(v[k] != 0 for _, v, _ in own) + 10)))
+            believed = max(10, len(own))
+            prior = min(0.98, max(0.02, (sum(post) + believed * 0.1) / (len(own) + believed)))
+        f = np.array([[*(x > 0 for x in v), *(x < 0 for x in v), sum(v), *m, 1] for _, v, m in own], float)
+        weight = len(set(own)) / len(own)
+        w = np.zeros(f.shape[1])
+        for _ in range(40_000):
+            p = 1 / (1 + np.exp(-f @ w))
+            w -= 0.02 * (weight * f.T @ (p - post) + 0.05 * w)
+        accepted |= {c for c, q in zip(own, 1 / (1 + np.exp(-f @ w)), strict=True) if q >= 0.5}
+    return accepted
+
+
+def test_added_spans_against_a_plain_classifier(spark):
+    """All spans of a small corpus; what looks like personal data but isn't stays out."""
+    texts = [
+        "mail joe [at] mail [dot] example [dot] com now", "call me: phone (030) 1234-5678 today", "version 12-34 of page 0123 456 7890", "order 4111 1111 1111 1112 was paid",
+        "card: 5500 0000 0000 0004, ssn 123-45-6789", "ssn: 000-12-3456", "iban DE89 3704 0044 0532 0130 00 here", "IBAN: GB82 WEST 1234 5698 7654 32", "id AB12 3456 7890 1234 5678",
+        "ip 2001:db8::8a2e:370:7334 and 12:30:45 and fe80::1", "tel 555-123-4567, fax 030-1234-5678", "a@b.cd and +1 (499) 555-6503", "x" * 60_000 + " phone (040) 7654-3210", "", None,
+    ] * 2
+    rows = list(enumerate(texts))
+    found = [(c[0], pii.votes(t, *c), pii.features(t, *c)) for t in texts if t for c in pii.candidates(t, plainly(t))]
+    accepted = plain_classifier(found)
+    assert 3 < len(accepted) < len(set(found))
+    want = []
+    for i, t in rows:
+        base = plainly(t or "")
+        spans, end = list(base), -1
+        for c in sorted(pii.candidates(t or "", base), key=lambda c: (c[1], -c[2], pii.ORDER[c[0]])):
+            if (c[0], pii.votes(t, *c), pii.features(t, *c)) in accepted and c[1] >= end:
+                spans.append(c)
+                end = c[2]
+        want.append((i, ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], pii.ORDER[x[0]], x[2])))))
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans").collect()
+    assert sorted(map(tuple, got)) == want
 
 
 def test_added_spans_and_cases(spark):

@@ -36,7 +36,7 @@ def plain_components(values, radius):
 
 
 def test_fingerprints():
-    for t in (None, "", " \n", "one", "A b c", "a b c d", "É é\x0bx Y\x1cz\u2003w " * 7, "word " * 300):
+    for t in (" ".join(random.Random(2).choices(["a", "B", "cd", "é"], k=40_000)), None, "", " \n", "one", "A b c", "a b c d", "É é\x0bx Y\x1cz\u2003w " * 7, "word " * 300):
         assert simhash.fingerprint(t) == plain_fingerprint(t), t
 
 
@@ -142,6 +142,42 @@ def test_similarity_is_exact(spark):
     assert sorted(x.doc_id for x in simhash.distinct_documents(df).collect()) == want
 
 
+def shared_pairs(texts, threshold):
+    """Pairs of texts whose five-word shingle sets have the similarity, by an inverted index; equal sets apart."""
+    sets = [frozenset(zip(*[w[i:] for i in range(5)], strict=False)) or frozenset([tuple(w)] if w else []) for w in ((t or "").lower().split() for t in texts)]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    places, counts = {}, {}
+    for i in first.values():
+        for g in sets[i]:
+            places.setdefault(g, []).append(i)
+    for of in places.values():
+        for k, a in enumerate(of):
+            for b in of[:k]:
+                counts[b, a] = counts.get((b, a), 0) + 1
+    pairs = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in counts.items()}
+    return sets, first, {p for p, j in pairs.items() if j >= threshold}
+
+
+def test_near_duplicates_of_documents(spark):
+    """On given documents: recall of the links between different texts against all pairs, and no text goes without a
+    neighbour at the threshold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    sets, first, links = shared_pairs([t for _, t in rows], 0.8)
+    root = {i: i for i in first.values()}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {k: new if v == old else v for k, v in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    named = [got[i] for i, _ in rows]
+    met = sum(named[a] == named[b] for a, b in links)
+    assert len(links) > 2 and met >= 0.9 * len(links)
+    assert all(named[i] == named[first[s]] for i, s in enumerate(sets))  # equal sets always meet
+    assert all(root[first[sets[i]]] == root[first[sets[j]]] for i in range(len(rows)) for j in [[d for d, _ in rows].index(named[i])])
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------------
 
 
@@ -172,7 +208,7 @@ def test_windows_against_brute_force(spark, block):
             at = r.randrange(len(text) + 1)
             text[at:at] = item[: r.randrange(8, 26)]
         docs.append((i % 50, "-".join(text).upper()))
-    docs += [(None, items[0][1]), (70, None), (71, "")]
+    docs += [(None, items[0][1]), (70, None), (71, ""), (72, " ".join([*r.choices(["other", "words", "v1"], k=70_000), items[5][1], *r.choices(["other", "v2"], k=9)]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((str(x.doc_id), x.n_words, x.n_hit, x.items, x.items_sha256, x.contaminated) for x in decontaminate.decontaminate(df, bench, block_chars=block).collect())

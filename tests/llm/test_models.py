@@ -74,7 +74,7 @@ def compiled(table):
                 units[at[node] ^ base] = 0x80000000 | values[node]
         label = node[-1] if node else 0
         units[at[node]] = base << 10 | (node in values) << 8 | label
-    flat = [units.get(i, 0) for i in range(max(units) + 257)]
+    flat = [units.get(i, 0) for i in range(-(-(max(units) + 257) // 256) * 256)]
     blob = struct.pack(f"<{len(flat)}I", *flat)
     return struct.pack("<I", len(blob)) + blob + strings
 
@@ -94,6 +94,51 @@ def test_character_map_takes_the_longest_prefix():
     assert pieces.Normaliser(charmap, True, True).aligned("   ")[0] == b""
 
 
+def changed_model(tmp_path, **spec):
+    """The public model with another normalisation, or without the pieces of single bytes."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(pieces.default_model(), "rb") as f:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    if spec.pop("bytes", True) is False:
+        proto.trainer_spec.byte_fallback = False
+        kept = [p for p in proto.pieces if p.type != 6]
+        del proto.pieces[:]
+        proto.pieces.extend(kept)
+    for k, v in spec.items():
+        setattr(proto.normalizer_spec, k, v)
+    path = str(tmp_path / "changed.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return path
+
+
+def test_a_model_with_a_character_map(spark, tmp_path):
+    """The map walk inside the operator: ids are the library's, pieces cover the source."""
+    table = {"ﬁ".encode(): b"fi", "Å".encode(): "Å".encode(), b"\t": b" ", "é".encode(): "é".encode(), "…".encode(): b"..."}
+    path = changed_model(tmp_path, precompiled_charsmap=compiled(table), remove_extra_whitespaces=False)
+    own = pieces.Encoder(path)
+    texts = ["ﬁne ﬁsh…", "\tÅngström é", "plain words", "", " ", "é" * 500, "ﬁ…" * 20_000]
+    assert own.encode(texts) == own.sp.encode(texts)
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        spans = own.spans(t, ids)
+        assert len(spans) == len(ids) and (not ids or spans[-1, 1] == len(t.encode())) and (np.diff(spans[:, 0]) >= 0).all() and (spans[:, 1] >= spans[:, 0]).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in pieces.encode(df, path).collect()}
+    assert [got[i] for i in range(len(texts))] == own.sp.encode(texts)
+
+
+def test_unknown_pieces_have_spans(tmp_path):
+    own = pieces.Encoder(changed_model(tmp_path, bytes=False))
+    for t in ("a 漢漢 b", "漢", "x\ny 🙂🙂🙂", "plain"):
+        ids = own.encode([t])[0]
+        spans = own.spans(t, ids)
+        assert ids == own.sp.encode(t) and len(spans) == len(ids) and spans[-1, 1] == len(t.encode())
+        for (s, e), i in zip(spans.tolist(), ids, strict=True):
+            if i == own.unknown:
+                assert t.encode()[s:e].decode()
+
+
 def test_encoding_rows(spark):
     df = spark.createDataFrame([(1, None), (1, "a b"), (1, "a b"), (None, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
     got = sorted(pieces.encode(df).collect(), key=repr)
@@ -322,7 +367,7 @@ def ids_of(language):
 def plain_bits(language, text):
     """For each token of a text its bits: what each predictor knows as its context, the bit, and the kind."""
     common, words = b"\n", [*words_of(text), b"\n"]
-    place = lambda code, symbol: [(int(code.path[at]), int(code.bits[at])) for at in code.spelled(np.array([symbol]))[1]]
+    place = lambda code, symbol: [(int(x >> 34), int(x & 1)) for x in code.packed[code.spelled(np.array([symbol]))[1]]]
     for i, w in enumerate(words):
         one = words[i - 1] if i else b"\n"
         symbol = 0 if w == b"\n" else ids_of(language).get(w, 1)
@@ -412,8 +457,8 @@ def test_codes_are_huffman_s():
         assert len(set(codes.path[at].tolist())) == len(at) and codes.path[at[0]] == codes.nodes - 1
         below = [sum(c for j, c in enumerate(counts) if set(codes.path[codes.spelled(np.array([j]))[1]].tolist()) >= {n}) for n in codes.path[at].tolist()]
         assert below[0] == sum(counts) and sorted(below, reverse=True) == below
-        assert codes.inside[at].tolist() == [int("1" + strings[-1][k - k % 3 : k], 2) for k in range(len(at))]
-        assert codes.group[at].tolist() == [codes.path[at[k - k % 3]] for k in range(len(at))]
+        assert (codes.packed[at] >> 1 & 7).tolist() == [int("1" + strings[-1][k - k % 3 : k], 2) for k in range(len(at))]
+        assert (codes.packed[at] >> 4 & (1 << 30) - 1).tolist() == [codes.path[at[k - k % 3]] for k in range(len(at))]
     assert not any(a != b and b.startswith(a) for a in strings for b in strings)
     merged, h = 0, sorted(counts)
     while len(h) > 1:
@@ -461,7 +506,8 @@ def test_model_beats_the_base_score_on_held_out(spark):
 def test_stages_keep_columns_and_rows(spark, tmp_path):
     """Each stage alone on awkward rows, then the whole."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0)], docs.schema)
+    long = " ".join(random.Random(1).choices(["words", "of", "a", "very", "long", "text", "4111"], k=120_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (8, long, "en", "s", len(long))], docs.schema)
     docs.unionByName(odd).withColumn("score", F.lit("clash")).withColumn("pattern", F.lit(1)).coalesce(2).write.parquet(str(tmp_path / "d"))
     mixed = spark.read.parquet(str(tmp_path / "d"))
     for name, stage in corpus_pipeline.STAGES:

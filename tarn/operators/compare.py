@@ -1,4 +1,8 @@
-"""Whether a program's output counts as the expected one."""
+"""Whether a program's output counts as the expected one.
+
+Defined cases: a null output is the empty one; texts over the bound of literals are compared by tokens; numbers that
+aren't finite equal nothing but their own spelling; orders are ignored only where asked.
+"""
 
 from __future__ import annotations
 

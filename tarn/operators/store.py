@@ -2,6 +2,9 @@
 
 Records are (snapshot_index, path, sid, ...); everything is a DataFrame over the whole log, so a snapshot's report or a
 chain is a query, and ingesting is appending.
+
+Defined cases: a null content is the empty program's; repeated records of a snapshot count as unchanged; a path without a
+record in a snapshot keeps its chain; null paths are a path of their own; an empty log gives empty reports.
 """
 
 from __future__ import annotations

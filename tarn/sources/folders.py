@@ -1,4 +1,8 @@
-"""Snapshots of folders of code."""
+"""Snapshots of folders of code.
+
+Defined cases: an empty folder gives no rows; an empty file is an empty program; bytes that aren't UTF-8 become
+replacement characters; of two folders the order given is that of the snapshots.
+"""
 
 from __future__ import annotations
 

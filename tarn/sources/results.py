@@ -1,4 +1,8 @@
-"""Task results as JSON files."""
+"""Task results as JSON files.
+
+Defined cases: dates, sets and numpy values are written as plain ones; a file that isn't a valid result is read with its
+errors, not refused; a missing main score is null.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Queries, corpora and relevance judgments, from tables or small containers."""
+"""Queries, corpora and relevance judgments, from tables or small containers.
+
+Defined cases: ids become strings, null ones stay null; a missing relevance is 1; repeated rows stay; columns besides ids
+and texts are left behind; an empty container is an empty table.
+"""
 
 from __future__ import annotations
 

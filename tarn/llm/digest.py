@@ -133,8 +133,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document, its edited text and the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     canon = docs.withColumn("canon", canonical(F.col("text")))
-    rows = canon.select("doc_id", "text", *wide_hash(F.col("canon")), raw_sha(F.col("canon")).alias("sha"))
-    paired = with_next(rows, ["w1", "w2", "sha"])
+    # a canonical text is worked out again rather than sent along
+    paired = with_next(canon.select("doc_id", "text", *wide_hash(F.col("canon"))), ["w1", "w2"]).withColumn("sha", raw_sha(canonical(F.col("text"))))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
     paired = paired.select("doc_id", "text", "w1", "w2", "sha", "next_text", "next_w1", "next_w2", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
@@ -146,8 +146,9 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = paired.select(
         "doc_id", "w1", "w2", "sha", "n_chars", "edited_sha256", "e1", "e2", "e_sha",
         same("e1", "e2", F.col("edited_canon")).alias("near_edited"), same("next_w1", "next_w2", canonical(F.col("next_text"))).alias("near_next"))
-    known = buckets(docs).select(F.col("b1").alias("e1"), F.col("b2").alias("e2"), F.transform("of", lambda x: x["sha"]).alias("shas"))
-    met = with_bucket(paired, docs).join(known, ["e1", "e2"], "left")
+    # on half of the hash again, so that rows of an edited text with very many copies can be split
+    met = with_bucket(paired, docs).join(buckets(docs), (F.col("e1") == F.col("b1")) & (F.col("e2").bitwiseXOR(F.col("b2")) == 0), "left")
+    met = met.withColumn("shas", F.transform("of", lambda x: x["sha"]))
     likeness = lambda c: F.when(F.col(c), 1.0).otherwise(0.0).alias(c)
     wide, others = hex_of("e1", "e2"), F.size(F.filter("shas", lambda x: x != F.col("e_sha")))
     edited_print = F.when(F.col("shas").isNotNull() & (others > 0), F.concat(wide, F.lit("-"), F.lower(F.hex("e_sha")))).otherwise(wide)

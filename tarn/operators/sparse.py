@@ -12,6 +12,7 @@ other in counts, and isn't searched; a repeated id has its texts' terms added up
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -71,8 +72,15 @@ def _raw(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return counts.join(idf.select("term", "idf"), "term").select("id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
-def norms(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    return _raw(counts, idf).groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def norms(counts: DataFrame, idf: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """(id, norm). n_docs: of a corpus whose own counts these are, all terms in it; terms of one document, most of all,
+    then have one idf and needn't be joined."""
+    if n_docs is None:
+        raw = _raw(counts, idf).select("id", "w")
+    else:
+        once = F.lit(math.log((1.0 + n_docs) / 2.0) + 1.0)
+        raw = counts.join(idf.where("df > 1").select("term", "idf"), "term", "left").select("id", ((1.0 + F.log("tf")) * F.coalesce("idf", once)).alias("w"))
+    return raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
@@ -111,6 +119,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id
     ids = corpus.agg(F.count("*").alias("n"), F.count_distinct(doc).alias("ids")).first()
     # an id that occurs once has its counts complete where its row is read
     count = _in_rows if ids["n"] == ids["ids"] else term_counts
+    if (cores := corpus.sparkSession.sparkContext.defaultParallelism) > corpus.rdd.getNumPartitions():
+        corpus = corpus.select(doc, text_doc or text).repartition(cores)  # a small input is cut into terms by all cores
     counts = count(corpus, doc, text_doc or text, bigrams)
     idf = inverse_frequencies(counts, ids["n"], max_terms)
     asked = term_counts(queries, query, text, bigrams)
@@ -119,7 +129,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query: str = "query_id
         terms = F.broadcast(terms)
     wanted = idf.join(terms, "term", "left_semi")
     some = _raw(counts.join(terms, "term", "left_semi"), wanted)
-    doc_weights = some.join(norms(counts, idf), "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    doc_weights = some.join(norms(counts, idf, ids["n"] if max_terms is None else None), "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
     found = topk(weights(asked, wanted), doc_weights, k)
     found = found.select(F.col("query_id").cast(kinds[1]), F.col("doc_id").cast(kinds[0]), "score", "rank")
     return filled(found, queries.select(F.col(query).alias("query_id")), corpus.select(F.col(doc).alias("doc_id")), k)

@@ -91,6 +91,23 @@ def test_components_of_documents(spark, chunk):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_divided_buckets_are_exact(spark):
+    """One bucket of many near fingerprints, far over the chunks: divided by their other bits they link as they should."""
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    values = sorted({base ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 9))) for _ in range(250)} | {r.getrandbits(64) for _ in range(50)})
+    classes = spark.createDataFrame([(simhash._signed(v), simhash._signed(v)) for v in values], "node long, fp0 long")
+    masks = simhash.layout(4, len(values))
+    keyed = simhash.keyed_by_masks(classes, masks)
+    parted = simhash.divided(keyed, masks, 4, 4)
+    assert parted.select("t").distinct().count() > len(masks) and parted.count() > keyed.count()
+    want = plain_components(values, 4)
+    for rows in (keyed, parted):
+        root = {x.node: x.root for x in graph.components(simhash.linked(rows, 4, 4)).collect()}
+        got = [root.get(simhash._signed(v), simhash._signed(v)) for v in values]
+        assert [got.index(x) for x in got] == want
+
+
 def test_star_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -322,12 +322,12 @@ def test_quality_cases(spark):
 
 
 def test_base_scores_and_cases(spark):
-    rows = [(i, t) for i, t in enumerate(["the cat Sat", "the\tdog", "", None, "a rare zebra", "the the the"] * 4)] + [(5, "the dog"), (5, "the dog"), (None, "unseen token")]
+    rows = [(i, t) for i, t in enumerate(["the cat Sat", "the\tdog", "", None, "a rare zebra", "the the the", " \u00c9 x\x0by\x1cz\u2003w \r\n"] * 4)] + [(5, "the dog"), (5, "the dog"), (None, "unseen token")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     for most in (3, lm.DICTIONARY):
         got = lm.score(df, most=most).collect()
         held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
-        tokens = lambda t: (t or "").lower().split() + ["\n"]
+        tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
         counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
         n, v = sum(counts.values()), len(counts)
         want = sorted((str(i), held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows)
@@ -486,6 +486,17 @@ def test_scores_through_spark(spark, tmp_path):
     assert ordered > mixed
 
 
+def test_many_shards_are_added_in_steps(spark, monkeypatch, tmp_path):
+    """The same scores whether counters of all shards are added up at once or by twos first."""
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(6, "doc_id").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    scores = lambda: {r.doc_id: r.score for r in lm.score(df, most=500).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 10_000)
+    once = scores()
+    monkeypatch.setattr(lm, "ADDED", 2)
+    assert once == scores() and len(set(once.values())) > 10
+
+
 def test_counters_count_on_beyond_floats():
     language = lm.Language({b"a": 5, b"\n": 1}, 0)
     learner = lm.Learner(language, 12)

@@ -52,7 +52,7 @@ def _write(folder: str, files: dict[str, str]) -> str:
 # --- sources and caches -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES (0, 3, 3, 0), (1, 2, 1, 1)) AS v(snapshot_index, n_records, n_new, n_unchanged)")
+@query("SELECT snapshot_index, n_records::BIGINT AS n_records, n_new::BIGINT AS n_new, n_unchanged::BIGINT AS n_unchanged FROM (VALUES (0, 3, 3, 0), (1, 2, 1, 1)) AS v(snapshot_index, n_records, n_new, n_unchanged)")
 def folder_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of a folder, with hidden files and others that aren't looked at."""
     at = _scratch(spark)

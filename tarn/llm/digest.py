@@ -67,7 +67,8 @@ def with_bucket(rows: DataFrame, docs: DataFrame) -> DataFrame:
     execution can split the rows of a bucket with very many."""
     joined = rows.join(buckets(docs), F.col("w1") == F.col("b1"))
     own = F.get(F.filter("of", lambda x: x["sha"] == F.col("sha")), F.lit(0))
-    return joined.where(F.col("w2") == F.col("b2")).withColumns({"texts": F.size("of"), "copies": own["copies"], "first_id": own["first_id"]}).drop("of", "b1", "b2")
+    # as an equality the other half would become a key, too
+    return joined.where(F.col("w2").bitwiseXOR(F.col("b2")) == 0).withColumns({"texts": F.size("of"), "copies": own["copies"], "first_id": own["first_id"]}).drop("of", "b1", "b2")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

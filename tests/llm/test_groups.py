@@ -177,6 +177,30 @@ def shared_pairs(texts, threshold):
     return sets, first, {p for p, j in pairs.items() if j >= threshold}
 
 
+@pytest.mark.parametrize("chunk", [16, 2048])
+def test_one_large_family(spark, monkeypatch, chunk):
+    """Many near copies of one text with few or many changes, in small chunks too: the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 100 * chunk)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(220):
+        words = list(base)
+        for _ in range(r.randrange(1, 9)):
+            words[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += texts[:40] + [" ".join(f"z{r.randrange(10**6)}" for _ in range(120)) for _ in range(30)]
+    sets, first, links = shared_pairs(texts, 0.8)
+    root = {i: i for i in first.values()}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {k: new if v == old else v for k, v in root.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar(df, chunk=chunk).collect()}
+    assert [got[i] for i in range(len(texts))] == [root[first[s]] for s in sets]
+    assert 40 < len(set(got.values())) < 200
+
+
 def test_near_duplicates_of_documents(spark):
     """On given documents: recall of the links between different texts against all pairs, and no text goes without a
     neighbour at the threshold."""

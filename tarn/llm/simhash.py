@@ -55,6 +55,8 @@ WIDE, RECALL = 4, 0.995
 #: Standard deviations that the candidate radius is wider than expected; sets up to FEW shingles differ in more bits than
 #: the angle says, as ties are zeros.
 WIDER, FEW, WIDER_FEW = 3, 32, 4.5
+#: Keys of the first pass over candidates; the second, over the others, only looks at what the first hasn't joined.
+FIRST_KEYS = 3
 #: Shingles in a chunk of a family (8 bytes each).
 CHUNK_SHINGLES = 2_000_000
 #: Chunks of a bucket beyond which it is divided by the bits that its key leaves.
@@ -258,8 +260,12 @@ def _compare(values: np.ndarray, planes: np.ndarray, lives: np.ndarray, row_of:
 class Forest:
     """Which of some rows are joined by the links seen so far."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, labels: np.ndarray | None = None) -> None:
+        """labels: rows of the same one are joined from the start."""
         self.parent = np.arange(n)
+        if labels is not None:
+            _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+            self.parent = first[of]
 
     def join(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the links that join what wasn't joined yet; at most one fewer than there are rows in all."""
@@ -278,11 +284,11 @@ class Forest:
             self.parent = parent
 
 
-def spanning(groups: list[np.ndarray], radius: int, keep=None) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+def spanning(groups: list[np.ndarray], radius: int, keep=None, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
     """Links that join what all links of a group join, as places in the groups' concatenation; at most one a row.
 
-    keep: which of some linked pairs (i, j) count, as a mask."""
-    trees = Forest(sum(map(len, groups)))
+    keep: which of some linked pairs (i, j) count, as a mask. labels: of each row; rows of the same one are joined."""
+    trees = Forest(sum(map(len, groups)), labels)
     found = [(trees.parent[:0], trees.parent[:0])]
     for i, j in sliced_links(groups, radius):
         if keep is not None:
@@ -456,19 +462,39 @@ class Alike:
 
 
 def candidates(keyed: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that join what the candidate links between classes (node, n, fp0, ..., t, key) of equal keys join."""
+    """Edges (a, b) between roots that join what the candidate links between classes (node, root, n, fp0, ..., t, key) of
+    equal keys join."""
     alike = Alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (nodes, n, *prints), ends in _some_groups(batches):
+        for (_, roots, n, *prints), ends in _some_groups(batches):
             values = np.stack(prints, axis=1).view(np.uint64)
-            a, b = spanning([values[s:e] for s, e in itertools.pairwise(ends)], alike.few, lambda i, j: alike(values, n, i, j))
-            if len(a):
-                yield _edges(np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b]))
+            which = [np.arange(s, e) for s, e in itertools.pairwise(ends) if (roots[s:e] != roots[s]).any()]
+            if which:
+                place = np.concatenate(which)
+                i, j = spanning([values[w] for w in which], alike.few, lambda i, j, place=place, values=values, n=n: alike(values, n, place[i], place[j]), roots[place])
+                if len(i):
+                    a, b = roots[place[i]], roots[place[j]]
+                    yield _edges(np.maximum(a, b), np.minimum(a, b))
 
     return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def families_of(classes: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(node, root): what candidate links join, of all classes (node, n, fp0, ...) that have any.
+
+    A few keys join most of what is to be joined; over the other ones only links between different roots are passed on,
+    so a large family doesn't send its forest once a key."""
+    bits = bands(similarity, WIDE, classes.count())
+    single = classes.withColumn("root", F.col("node")).select("node", "root", "n", *[f"fp{w}" for w in range(WIDE)])
+    first = components(candidates(keyed_by_bits(single, bits[:FIRST_KEYS]), similarity, chunk))
+    joined = first.select("node", F.col("root").alias("_root"))
+    rooted = single.join(joined, "node", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+    more = candidates(keyed_by_bits(checkpoint(rooted), bits[FIRST_KEYS:]), similarity, chunk)
+    found = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def verified_links(values: np.ndarray, sets: list[np.ndarray], alike: Alike) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the pairs of the similarity join, of the candidate pairs between rows that aren't joined yet.
 
@@ -582,9 +608,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, chunk: i
     prints = checkpoint(wide_fingerprints(docs, shingle, doc, text, [*(extra or []), at.alias("_at")]))
     classes = checkpoint(prints.groupBy("h1", "h2", "n", *names).agg(F.min(least).alias("least"), F.min("_at").alias("node"), F.count("*").alias("copies")))
     texts = docs.select(F.col(text).alias("text"), at.alias("node"))
-    bits = bands(similarity, WIDE, classes.count())
-    found = components(candidates(keyed_by_bits(classes.select("node", "n", *names), bits), similarity, chunk))
-    families = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    families = families_of(classes.select("node", "n", *names), similarity, chunk)
     return _named(prints.drop("n", "_at"), classes, verified(families, classes, texts, shingle, similarity, chunk), ["h1", "h2"], chunk)
 
 

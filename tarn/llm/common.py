@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it is so small that it has fewer partitions than there are cores. What Python does to each row
+    costs far more than that; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder for what cuts lineage: spark.checkpoint.dir. Its files go when the driver ends.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, sha256, sliced, table
+from tarn.llm.common import _arrow_schema, on_all_cores, sha256, sliced, table
 
 WINDOW, K = 10, 6
 #: Characters of a benchmark that is broadcast, at most a million words; about 200 MB of index at most.
@@ -236,7 +236,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item, with windows of 10 words."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate(on_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 #: Windows as arrays of words, joined by equality; hit words are the union of the occurring windows' positions.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, sha256, sliced, table
+from tarn.llm.common import _arrow_schema, on_all_cores, sha256, sliced, table
 
 SPACE = "▁"
 MEMO = 80_000
@@ -233,4 +233,4 @@ def encode(docs: DataFrame, model: str | None = None, doc: str = "doc_id", text:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids, the decoded text and the pieces' byte spans of every whole document."""
-    return encode(table(spark, sf_dir, "documents"), digests=True)
+    return encode(on_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import _arrow_schema, checkpoint, sha256, sliced, table
+from tarn.llm.common import _arrow_schema, checkpoint, on_all_cores, sha256, sliced, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
@@ -332,4 +332,4 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole document."""
-    return detect(table(spark, sf_dir, "documents"))
+    return detect(on_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_texts, remainder, sliced, remainder_column, table
+from tarn.llm.common import map_texts, on_all_cores, remainder, remainder_column, sliced, table
 
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 256, 32, 8, 1, 8, 16
 SAMPLE, SAMPLE_CHUNKS, EPOCHS, BATCH, RATE, SEED = 3000, 96, 8, 32, 0.01, 7
@@ -215,4 +215,4 @@ def classify(docs: DataFrame, model: ByteConvNet | Constant, threshold: float =
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every whole document, by a network fitted on labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+    return classify(on_all_cores(docs.select("doc_id", "text")), train(docs, table(spark, sf_dir, "labels")))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpoint, map_texts, stored, table
+from tarn.llm.common import checkpoint, map_texts, on_all_cores, stored, table
 from tarn.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -629,4 +629,4 @@ def hex_of(column: str) -> Column:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hex_of("fp0").alias("fingerprint"), "component_id")
+    return near_duplicates(on_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", hex_of("fp0").alias("fingerprint"), "component_id")

@@ -318,12 +318,13 @@ def _share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def bands(similarity: float, words: int, n: int, recall: float = RECALL, seed: int = 1) -> list[list[int]]:
+def bands(similarity: float, words: int, n: int, chunk: int = CHUNK, recall: float = RECALL, seed: int = 1) -> list[list[int]]:
     """Bit numbers of each key: so many keys that of all pairs of the similarity the share recall has one in common.
 
-    The keys' length follows the number of fingerprints, so that buckets stay small."""
+    The keys' length follows the number of fingerprints, so that a bucket has a chunk or two on average: longer keys need
+    more of them, and each is a row for every fingerprint."""
     size, share = 64 * words, _share(similarity)
-    bits = max(12, math.ceil(math.log2(max(1, n) / 512)))
+    bits = max(11, math.ceil(math.log2(max(1, n) / (2 * chunk))))
     apart = [math.comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size)]
     keys = 1
     while sum(p * (1 - (1 - d / size) ** bits) ** keys for d, p in enumerate(apart)) > 1 - recall:
@@ -367,19 +368,20 @@ def divided(keyed: DataFrame, masks: list[int], radius: int, chunk: int) -> Data
     return dealt.select(*columns, "k.t", "k.key")
 
 
-def keyed_by_bits(classes: DataFrame, bits: list[list[int]]) -> DataFrame:
-    """The same, each key the fingerprint's bits of some numbers."""
+def keyed_by_bits(classes: DataFrame, bits: list[list[int]], first: int = 0) -> DataFrame:
+    """classes with key, a row for each of the keys: the fingerprint's bits of some numbers, and the key's number (from
+    first) above them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = {w: batch.column(f"fp{w}").to_numpy(zero_copy_only=False).view(np.uint64) for w in range(WIDE)}
             for t, places in enumerate(bits):
-                key = np.zeros(batch.num_rows, np.uint64)
+                key = np.full(batch.num_rows, first + t << 48, np.uint64)
                 for i, b in enumerate(places):
                     key |= (prints[b // 64] >> np.uint64(b % 64) & np.uint64(1)) << np.uint64(i)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64))], names=[*batch.schema.names, "t", "key"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], names=[*batch.schema.names, "key"])
 
-    return classes.mapInArrow(run, ", ".join(f"{c} bigint" for c in classes.columns) + ", t int, key bigint")
+    return classes.mapInArrow(run, ", ".join(f"{c} bigint" for c in classes.columns) + ", key bigint")
 
 
 def _hot(rows: DataFrame, keys: list[str], most: int, size: str | None = None, per: int = 1) -> DataFrame | None:
@@ -410,11 +412,11 @@ def _in_chunks(rows: DataFrame, keys: list[str], hot: DataFrame | None, by: str)
     return dealt.select(*keys, *columns, "p.lo", "p.hi")
 
 
-def grouped(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """of: lists of classes (structs of their columns) with an equal key; every two of these share some list."""
-    columns = [c for c in keyed.columns if c not in ("t", "key")]
-    dealt = _in_chunks(keyed, ["t", "key"], _hot(keyed, ["t", "key"], chunk), "node")
-    return dealt.groupBy("t", "key", "lo", "hi").agg(F.collect_list(F.struct(*columns)).alias("of")).where(F.size("of") > 1).select("of")
+def grouped(keyed: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """of: lists of classes (structs of their columns) with equal keys; every two of these share some list."""
+    columns = [c for c in keyed.columns if c not in keys]
+    dealt = _in_chunks(keyed, keys, _hot(keyed, keys, chunk), "fp0")
+    return dealt.groupBy(*keys, "lo", "hi").agg(F.collect_list(F.struct(*columns)).alias("of")).where(F.size("of") > 1).select("of")
 
 
 def _some_groups(batches: Iterator[pa.RecordBatch], rows: int = 16384) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -445,7 +447,7 @@ def linked(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
             if len(a):
                 yield _edges(nodes[a], nodes[b])
 
-    return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint")
+    return grouped(keyed, ["t", "key"], chunk).mapInArrow(run, "a bigint, b bigint")
 
 
 class Alike:
@@ -462,12 +464,12 @@ class Alike:
 
 
 def candidates(keyed: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between roots that join what the candidate links between classes (node, root, n, fp0, ..., t, key) of
-    equal keys join."""
+    """Edges (a, b) between roots that join what the candidate links between classes (root, n, fp0, ..., key) of equal
+    keys join."""
     alike = Alike(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, roots, n, *prints), ends in _some_groups(batches):
+        for (roots, n, *prints), ends in _some_groups(batches):
             values = np.stack(prints, axis=1).view(np.uint64)
             which = [np.arange(s, e) for s, e in itertools.pairwise(ends) if (roots[s:e] != roots[s]).any()]
             if which:
@@ -477,7 +479,7 @@ def candidates(keyed: DataFrame, similarity: float, chunk: int = CHUNK) -> DataF
                     a, b = roots[place[i]], roots[place[j]]
                     yield _edges(np.maximum(a, b), np.minimum(a, b))
 
-    return grouped(keyed, chunk).mapInArrow(run, "a bigint, b bigint").distinct()
+    return grouped(keyed, ["key"], chunk).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def families_of(classes: DataFrame, similarity: float, chunk: int) -> DataFrame:
@@ -485,12 +487,14 @@ def families_of(classes: DataFrame, similarity: float, chunk: int) -> DataFrame:
 
     A few keys join most of what is to be joined; over the other ones only links between different roots are passed on,
     so a large family doesn't send its forest once a key."""
-    bits = bands(similarity, WIDE, classes.count())
-    single = classes.withColumn("root", F.col("node")).select("node", "root", "n", *[f"fp{w}" for w in range(WIDE)])
-    first = components(candidates(keyed_by_bits(single, bits[:FIRST_KEYS]), similarity, chunk))
+    # a bucket may be several times a family's chunk: fingerprints are small, and smaller buckets need more keys
+    names, chunk = [f"fp{w}" for w in range(WIDE)], 4 * chunk
+    bits = bands(similarity, WIDE, classes.count(), chunk // 4)
+    single = classes.select("node", F.col("node").alias("root"), "n", *names)
+    first = components(candidates(keyed_by_bits(single.drop("node"), bits[:FIRST_KEYS]), similarity, chunk))
     joined = first.select("node", F.col("root").alias("_root"))
-    rooted = single.join(joined, "node", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
-    more = candidates(keyed_by_bits(checkpoint(rooted), bits[FIRST_KEYS:]), similarity, chunk)
+    rooted = checkpoint(single.join(joined, "node", "left").select(F.coalesce("_root", "root").alias("root"), "n", *names))
+    more = candidates(keyed_by_bits(rooted, bits[FIRST_KEYS:], FIRST_KEYS), similarity, chunk)
     found = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 

@@ -3,17 +3,16 @@
 A text (A-Z lower-cased) is its words and then one end. A word of the dictionary (the DICTIONARY most frequent training
 tokens) is written with its Huffman code; any other is an escape and then its bytes and a space, each byte with a code
 of its own. So a text is a run of bits, and every bit is predicted after all that stands before it. For each bit three
-predictors look at different contexts. The first knows the place in the code alone, from the exact counts behind the
-codes. The other two are of a dictionary word's bits the word before and the last very frequent word of the text; of a
+predictors look at different contexts. The first knows the place in the code alone, from the counts behind the codes:
+exact ones of words; of bytes, how often the dictionary's words have them, each word once. The other two are of a dictionary word's bits the word before and the last very frequent word of the text; of a
 byte's bits the last three bytes (the word before included) and the word's bytes so far. A context and the place in the
 code are hashed to a slot that counts zeros and ones; slots of three bits in a row lie side by side.
 
 A predictor's stretched probability enters a logistic mixer whose weights are chosen by a gate, the kind of bit and how
 much two of the contexts have been seen. Learning is online: a shard of the training texts is read once, batch after
-batch, and every batch is counted. The first LEARNED batches and every EACH-th after them are first predicted from what
-was seen before them, and move the weights and an adaptive probability map behind the mixer. Counters and maps of the
-shards are added up, weights averaged by their events. A text's score is the sum over its bits, in log10; bits_per_byte
-is the same in bits for each byte of its tokens.
+batch. Every batch is first predicted from what was seen before it, moves the weights and an adaptive probability map
+behind the mixer, and is counted. Counters and maps of the shards are added up, weights averaged by their events. A
+text's score is the sum over its bits, in log10; bits_per_byte is the same in bits for each byte of its tokens.
 
 Every training text is read. What is kept of them grows with the input: the exact counts of all tokens as a table, the
 shards (one for each SHARD_TOKENS tokens) and the slots, up to 2^SLOTS a predictor, as counters, codes and weights
@@ -27,6 +26,7 @@ depend on how the input is cut into shards, which is the same in every run over
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from collections.abc import Iterator
@@ -54,19 +54,21 @@ SHARD_TOKENS = 1 << 25
 #: Counters in a row on its way between tasks, and shards whose counters are added up in one go.
 BLOCK, ADDED = 1 << 11, 64
 RATE, PRIOR = 0.02, 0.3
-#: Batches of a shard that all move the mixer, and which of the later ones do.
-LEARNED, EACH = 64, 8
+#: Batches of a shard that all move the mixer, and which of the later ones do: every one, none is left out.
+LEARNED, EACH = 0, 1
 #: Predictors, the first one without slots.
 PREDICTORS, LEVELS = 3, 6
 _GATES, _APM = 2 * LEVELS * LEVELS, 33
-#: Levels by counts up to 128, which stands for more.
-_LEVEL = np.searchsorted([0.5, 1.5, 3.5, 15.5, 127.5], np.arange(129)).astype(np.uint8)
+#: Counts beyond which a level ends.
+_BOUNDS = [np.float32(x) for x in (0.5, 1.5, 3.5, 15.5, 127.5)]
 #: A slot when done: its level and its stretched probability in steps of 1/128.
 _STEP = 128
 _STRETCH = ((np.arange(4096) - 2048) / _STEP).astype(np.float32)
 _C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _R = np.random.default_rng(11).integers(1, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _END, _ESCAPE, _WORDS = 0, 1, 2
+#: What a bit that is 0 or 1 adds to a slot's two counters as one number.
+_PAIR = np.array([[1, 0], [0, 1]], np.uint32).view(np.uint64).ravel()
 
 
 class Words:
@@ -103,7 +105,9 @@ def held_out(ids: pa.Array) -> np.ndarray:
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
+    ratio = n1 + np.float32(PRIOR)
+    ratio /= n0 + np.float32(PRIOR)
+    return np.log(ratio, out=ratio)
 
 
 class Codes:
@@ -145,6 +149,7 @@ class Codes:
         # one number for each bit: its value, its place in the group, the group and the node
         self.packed = bits.astype(np.int64) | inside.astype(np.int64) << 1 | group.astype(np.int64) << 4 | path.astype(np.int64) << 34
         self.lengths, self.starts, self.static, self.nodes = depth, starts, stretched(*passing).astype(np.float32), max(1, n - 1)
+        self.odds = self.static.take(path)  # of each bit, beside packed
 
     @property
     def path(self) -> np.ndarray:
@@ -158,7 +163,16 @@ class Codes:
         """Of a run of symbols: which one each bit belongs to, and the bit's place in packed."""
         n = self.lengths.take(symbols)
         of = np.repeat(np.arange(len(symbols)), n)
-        return of, np.repeat(self.starts.take(symbols) - (np.cumsum(n) - n), n) + np.arange(len(of))
+        at = (self.starts.take(symbols) - (np.cumsum(n) - n)).take(of)
+        at += np.arange(len(of))
+        return of, at
+
+    def beside(self, other: Codes) -> Codes:
+        """Both codes as one table, the other's symbols after the own ones."""
+        out = copy.copy(self)
+        out.lengths, out.packed, out.odds = (np.concatenate((getattr(self, k), getattr(other, k))) for k in ("lengths", "packed", "odds"))
+        out.starts = np.concatenate((self.starts, other.starts + len(self.packed)))
+        return out
 
 
 class Language:
@@ -174,6 +188,11 @@ class Language:
         for w in ordered:
             np.add.at(letters, np.frombuffer(w + b" ", np.uint8), 1)
         self.bytes = Codes(letters.tolist())
+        self.both, self.letters = self.words.beside(self.bytes), len(self.words.lengths)
+
+    def __getstate__(self) -> dict:
+        """Without the two codes on their own: workers go by both as one."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "bytes")}
 
     def symbols(self, words: pa.Array) -> np.ndarray:
         """Each word's symbol: its place in the dictionary, or the escape."""
@@ -233,57 +252,60 @@ class Tokens:
 
 
 class Bits:
-    """The bits of the tokens from lo to hi: the slot of each predictor, the value, and the token (from lo on)."""
+    """The bits of the tokens from lo to hi: the slot of each predictor, the value, and the token (from lo on).
+
+    What is written is the tokens and after them the letters of those spelled out; bits of tokens come first."""
 
     def __init__(self, tokens: Tokens, lo: int, hi: int, slots: int) -> None:
-        language = tokens.language
-        self.shift, size = np.uint32(35 - slots), 1 << slots
-        of, at = language.words.spelled(tokens.ids[lo:hi])
-        packed = language.words.packed.take(at)
-        value, static = packed & 1, language.words.static.take(packed >> 34)
-        found = self._slots(of, packed, [c[lo:hi] for c in tokens.contexts], size, _C1)
-        self.words = len(of)
+        code, symbols, contexts = tokens.language.both, tokens.ids[lo:hi], [c[lo:hi] for c in tokens.contexts]
+        self._token = np.arange(hi - lo)
         first, last = np.searchsorted(tokens.missing, (lo, hi)).tolist()
         if first < last:
-            b_of, b_found, b_value, b_static = self._bytes(language.bytes, tokens.spelled.slice(first, last - first), size)
-            of, value, static = np.concatenate((of, tokens.missing[first:last][b_of] - lo)), np.concatenate((value, b_value)), np.concatenate((static, b_static))
-            found = [np.concatenate(x) for x in zip(found, b_found, strict=True)]
-        self.of, self.value, self.static, self.slots, self.tokens = of, value, static, found, hi - lo
-
-    def _slots(self, of: np.ndarray, packed: np.ndarray, contexts: list[np.ndarray], size: int, by: np.uint32) -> list[np.ndarray]:
-        mixed = (packed >> 4).astype(np.uint32) & np.uint32(0x3FFFFFFF)
-        mixed *= by
-        inside, out = packed >> 1 & 7, []
+            word, letters, more = _letters(tokens.spelled.slice(first, last - first))
+            symbols = np.concatenate((symbols, letters + tokens.language.letters))
+            contexts = [np.concatenate(x) for x in zip(contexts, more, strict=True)]
+            self._token = np.concatenate((self._token, tokens.missing[first:last][word] - lo))
+        self._written, at = code.spelled(symbols)
+        packed = code.packed.take(at)
+        self.words, self.tokens = int(np.searchsorted(self._written, hi - lo)), hi - lo
+        self.value, self.static = packed & 1, code.odds.take(at)
+        inside = packed >> 1 & 7
+        heads = np.flatnonzero(inside == 1)  # bits that begin a group
+        sizes, of = np.diff(heads, append=len(packed)), self._written.take(heads)
+        mixed = (packed.take(heads) >> 4).astype(np.uint32) & np.uint32(0x3FFFFFFF)
+        split = int(np.searchsorted(of, hi - lo))
+        mixed[:split] *= _C1
+        mixed[split:] *= _C3
+        self.slots = []
         for k, context in enumerate(contexts):
             hashed = context.take(of)
             hashed ^= mixed
             hashed *= _C2
             hashed ^= hashed >> np.uint32(15)
             hashed *= _C1
-            hashed >>= self.shift
-            slot = hashed.astype(np.int64)
-            slot <<= 3
+            hashed >>= np.uint32(35 - slots)
+            slot = np.repeat((hashed.astype(np.int64) << 3) + (k << slots), sizes)
             slot += inside
-            if k:
-                slot += k * size
-            out.append(slot)
-        return out
+            self.slots.append(slot)
+
+    @property
+    def of(self) -> np.ndarray:
+        return self._token.take(self._written)
 
-    def _bytes(self, code: Codes, spelled: pa.Array, size: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """The same of words spelled out, each with four bytes in front that aren't predicted."""
-        data, sizes = _flat(spelled)
-        word = np.repeat(np.arange(len(spelled)), sizes)
-        place = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[word] - 4
-        where = np.flatnonzero(place >= 0)
-        word, place = word[where], place[where]
-        wide = data.astype(np.uint32) + np.uint32(1)
-        terms = wide[where] * _R[place % 64]
-        running = np.cumsum(terms, dtype=np.uint32) - terms
-        prefix = running - running[np.flatnonzero(place == 0)][word] + np.minimum(place, 255).astype(np.uint32)
-        last = (wide[where - 1] << np.uint32(20)) + (wide[where - 2] << np.uint32(10)) + wide[where - 3]
-        of, at = code.spelled(data[where])
-        packed = code.packed.take(at)
-        return word[of], self._slots(of, packed, [last * _C3 + np.uint32(7), prefix * _C3 + np.uint32(5)], size, _C3), packed & 1, code.static.take(packed >> 34)
+
+def _letters(spelled: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of words spelled out, each with four bytes in front that aren't predicted: the word, the byte and the contexts of each byte."""
+    data, sizes = _flat(spelled)
+    word = np.repeat(np.arange(len(spelled)), sizes)
+    place = np.arange(len(data)) - (np.cumsum(sizes) - sizes)[word] - 4
+    where = np.flatnonzero(place >= 0)
+    word, place = word[where], place[where]
+    wide = data.astype(np.uint32) + np.uint32(1)
+    terms = wide[where] * _R[place % 64]
+    running = np.cumsum(terms, dtype=np.uint32) - terms
+    prefix = running - running[np.flatnonzero(place == 0)][word] + np.minimum(place, 255).astype(np.uint32)
+    last = (wide[where - 1] << np.uint32(20)) + (wide[where - 2] << np.uint32(10)) + wide[where - 3]
+    return word, data[where].astype(np.int64), [last * _C3 + np.uint32(7), prefix * _C3 + np.uint32(5)]
 
 
 def slots_of(slots: int) -> int:
@@ -296,7 +318,10 @@ def slots_of(slots: int) -> int:
 
 def level(n: np.ndarray) -> np.ndarray:
     """How much was seen, in LEVELS steps."""
-    return _LEVEL.take(np.minimum(n, 128).astype(np.int64))
+    out = np.zeros(n.shape, np.uint8)
+    for bound in _BOUNDS:
+        out += n > bound
+    return out
 
 
 def done(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -325,7 +350,12 @@ class Mixer:
         return np.clip(total, np.float32(-16), np.float32(16), out=total)
 
     def bucket(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return gate * _APM + np.clip(np.rint(mixed * 2) + _APM // 2, 0, _APM - 1).astype(np.int64)
+        place = mixed * np.float32(2)
+        np.rint(place, out=place)
+        place += np.float32(_APM // 2)
+        at = np.clip(place, np.float32(0), np.float32(_APM - 1), out=place).astype(np.int64)
+        at += gate * _APM
+        return at
 
     def refined(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The mixed probability averaged with what its bucket has shown, the more the more it has shown."""
@@ -333,28 +363,35 @@ class Mixer:
         at = self.bucket(mixed, gate)
         share = 4 / (self.apm[0] + self.apm[1] + 4)  # of the mixed probability in what the bucket says
         shown = (1 - share) * self.apm[1] / np.maximum(self.apm[0] + self.apm[1], 1)
-        own = 0.5 * p * (1 + share.astype(np.float32).take(at)) + 0.5 * shown.astype(np.float32).take(at)
-        return np.clip(own, np.float32(1e-6), np.float32(1 - 1e-6))
+        p *= (0.5 * (1 + share)).astype(np.float32).take(at)
+        p += (0.5 * shown).astype(np.float32).take(at)
+        return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
 
     def learn(self, x: list[np.ndarray], gate: np.ndarray, value: np.ndarray, rate: float) -> None:
         """Moves each gate's weights and the map towards what came."""
         mixed = self.mix(x, gate)
-        push = value - 1 / (1 + np.exp(-mixed))
-        total = np.bincount(gate, minlength=_GATES)
-        moved = np.stack([*(np.bincount(gate, weights=push * x[k], minlength=_GATES) for k in range(PREDICTORS)), np.bincount(gate, weights=push, minlength=_GATES)], axis=1)
+        push = value.astype(np.float32) - 1 / (1 + np.exp(-mixed))
+        at = self.bucket(mixed, gate)
+        at *= 2
+        at += value
+        came = np.bincount(at, minlength=2 * self.apm.shape[1]).reshape(-1, 2)
+        self.apm += came.T
+        total = came.reshape(_GATES, -1).sum(axis=1)
+        # four sums for each gate in turn, as neighbours mostly have the same one and would wait for each other
+        turn = gate * 4
+        turn += np.arange(len(gate)) & 3
+        moved = np.stack([np.bincount(turn, weights=push * x[k] if k < PREDICTORS else push, minlength=4 * _GATES).reshape(_GATES, 4).sum(axis=1) for k in range(PREDICTORS + 1)], axis=1)
         step = (moved / np.maximum(total, 1)[:, None]).astype(np.float32)
         some = (total > 0)[:, None]
         self.square += np.where(some, 0.02 * (step * step - self.square), 0)
         self.weights += np.where(some, rate * step / np.sqrt(self.square), 0)
-        at = self.bucket(mixed, gate)
-        self.apm[1] += np.bincount(at, weights=value, minlength=self.apm.shape[1])
-        self.apm[0] += np.bincount(at, weights=1 - value, minlength=self.apm.shape[1])
 
 
 def gates(bits: Bits, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    gate = a.astype(np.int64) * LEVELS + b
+    gate = a.astype(np.uint8) * np.uint8(LEVELS)
+    gate += b.astype(np.uint8)
     gate[bits.words :] += LEVELS * LEVELS
-    return gate
+    return gate.astype(np.int64)
 
 
 class Learner:
@@ -371,17 +408,17 @@ class Learner:
             self._step(Bits(tokens, lo, min(lo + BATCH, len(tokens.ids)), self.slots))
 
     def _step(self, bits: Bits) -> None:
-        if self.steps < LEARNED or self.steps % EACH == 0:
-            pairs = self.n.view(np.uint64)
-            x, seen = [bits.static], []
-            for slot in bits.slots:
-                pair = pairs.take(slot)
-                n0, n1 = (pair & np.uint64(0xFFFFFFFF)).astype(np.float32), (pair >> np.uint64(32)).astype(np.float32)
-                x.append(stretched(n0, n1))
-                seen.append(level(n0 + n1))
-            self.mixer.learn(x, gates(bits, *seen), bits.value.astype(np.float32), RATE / math.sqrt(1 + self.steps / 16))
+        pairs = self.n.view(np.uint64)
+        x, seen = [bits.static], []
         for slot in bits.slots:
-            np.add.at(self.n, 2 * slot + bits.value, np.uint32(1))
+            pair = pairs.take(slot).view(np.uint32)
+            n0, n1 = pair[::2].astype(np.float32), pair[1::2].astype(np.float32)
+            x.append(stretched(n0, n1))
+            seen.append(level(n0 + n1))
+        self.mixer.learn(x, gates(bits, *seen), bits.value, RATE / math.sqrt(1 + self.steps / 16))
+        counted = _PAIR.take(bits.value)
+        for slot in bits.slots:
+            np.add.at(pairs, slot, counted)
         self.steps += 1
         self.events += len(bits.value)
 
@@ -424,15 +461,42 @@ class Model:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, c): every token of the texts and how often the training documents have it."""
+    """(word, c): every token of the texts and how often the training documents have it.
+
+    Words travel by the part of their hash, many in a row (no word has a space in it), and as many parts as the input has
+    partitions add them up: a row for each word would cost several times that."""
+    parts = max(32, docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             words, train = Words(piece.column(1)), ~held_out(piece.column(0))
-            counts = np.bincount(words.index, weights=train[words.text], minlength=len(words.distinct)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.distinct.cast(pa.string()), pa.array([END])]), pa.array(np.append(counts, train.sum()))], names=["word", "c"])
+            c = np.append(np.bincount(words.index, weights=train[words.text], minlength=len(words.distinct)).astype(np.int64), train.sum())
+            distinct = pa.concat_arrays([words.distinct.cast(pa.binary()), pa.array([END.encode()])])
+            part = _hashed(distinct) % np.uint32(parts)
+            order = np.argsort(part, kind="stable")
+            some, starts = np.unique(part[order], return_index=True)
+            ends = np.append(starts, len(order)).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), distinct.take(pa.array(order))), b" ")
+            counts = [x.tobytes() for x in np.split(c[order], starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), joined, pa.array(counts, pa.binary())], names=["part", "words", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, n = None, [], 0
+        for batch in sliced(batches, 64):
+            more.append(pa.table({"word": pc.split_pattern(batch.column("words"), " ").flatten(), "c": np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("counts")])}))
+            n += more[-1].num_rows
+            if n > max(1 << 20, held.num_rows if held else 0):
+                held, more, n = _summed([held, *more]), [], 0
+        if held or more:
+            for batch in _summed([held, *more]).to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([batch.column("word").view(pa.string()), batch.column("c")], names=["word", "c"])
+
+    sent = docs.select("doc_id", "text").mapInArrow(count, "part int, words binary, counts binary")
+    return sent.repartitionById(parts, "part").mapInArrow(add, "word string, c bigint")
+
+
+def _summed(tables: list[pa.Table | None]) -> pa.Table:
+    return pa.concat_tables([t for t in tables if t is not None]).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
 
 def _least_count(words: DataFrame, most: int) -> int:

@@ -505,6 +505,25 @@ def test_counters_count_on_beyond_floats():
     assert learner.n.max() == (1 << 24) + 3
 
 
+def test_every_batch_moves_the_mixer(spark, monkeypatch, tmp_path):
+    """No training text is left out of the weights and the map: each bit of each is in the map once, late batches move weights."""
+    texts = ["the cat sat on a mat zebra%d" % (i % 7) for i in range(2)] + ["the cat sat on a mat by the dog " * 40_000]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    words = lm.vocabulary(rows)
+    language, model = lm.fit(rows, words, words.agg(F.sum("c")).first()[0])
+    train = pa.array([t for i, t in enumerate(texts, 1) if zlib.crc32(str(i).encode()) % 10])
+    tokens = lm.Tokens(language.value, train)
+    assert len(tokens.ids) > 80 * lm.BATCH
+    assert model.value.mixer.apm.sum() == sum(len(lm.Bits(tokens, lo, min(lo + 999, len(tokens.ids)), 12).value) for lo in range(0, len(tokens.ids), 999))
+    monkeypatch.setattr(lm, "BATCH", 8)
+    learner = learned(LM_TEXTS)[1]
+    while learner.steps < 100:
+        before, steps = learner.mixer.weights.copy(), learner.steps
+        learner.learn(pa.array(["the cat sat"]))
+        assert learner.steps == steps + 1 and not np.array_equal(before, learner.mixer.weights)
+
+
 def test_model_beats_the_base_score_on_held_out(spark):
     got = lm.score(spark.read.parquet(f"{SF}/../sf0.1/documents.parquet")).where("held_out").toPandas()
     assert got.score.sum() > got.base_score.sum()

@@ -30,6 +30,7 @@ import copy
 import heapq
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,10 @@ _STRETCH = ((np.arange(4096) - 2048) / _STEP).astype(np.float32)
 _C1, _C2, _C3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _R = np.random.default_rng(11).integers(1, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _END, _ESCAPE, _WORDS = 0, 1, 2
+#: Bits of a hash of 31 besides the first ones that the dictionary is looked up by.
+_FIRST = 13
+#: Of a packed bit: its value, its place in the group and the group.
+_PLACE = (1 << 32) - 1
 #: What a bit that is 0 or 1 adds to a slot's two counters as one number.
 _PAIR = np.array([[1, 0], [0, 1]], np.uint32).view(np.uint64).ravel()
 
@@ -149,7 +154,6 @@ class Codes:
         # one number for each bit: its value, its place in the group, the group and the node
         self.packed = bits.astype(np.int64) | inside.astype(np.int64) << 1 | group.astype(np.int64) << 4 | path.astype(np.int64) << 34
         self.lengths, self.starts, self.static, self.nodes = depth, starts, stretched(*passing).astype(np.float32), max(1, n - 1)
-        self.odds = self.static.take(path)  # of each bit, beside packed
 
     @property
     def path(self) -> np.ndarray:
@@ -168,10 +172,14 @@ class Codes:
         return of, at
 
     def beside(self, other: Codes) -> Codes:
-        """Both codes as one table, the other's symbols after the own ones."""
+        """Both codes as one table, the other's symbols after the own ones; of each bit packed has what static says of the
+        node, as 32 bits of a float, instead of the node, so that one look at the table is enough."""
         out = copy.copy(self)
-        out.lengths, out.packed, out.odds = (np.concatenate((getattr(self, k), getattr(other, k))) for k in ("lengths", "packed", "odds"))
+        out.lengths, packed, path = (np.concatenate((getattr(self, k), getattr(other, k))) for k in ("lengths", "packed", "path"))
         out.starts = np.concatenate((self.starts, other.starts + len(self.packed)))
+        out.static = np.concatenate((self.static, other.static))
+        path[len(self.packed) :] += len(self.static)
+        out.packed = packed & _PLACE | out.static.take(path).view(np.uint32).astype(np.int64) << 32
         return out
 
 
@@ -192,11 +200,34 @@ class Language:
 
     def __getstate__(self) -> dict:
         """Without the two codes on their own: workers go by both as one."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("words", "bytes")}
-
-    def symbols(self, words: pa.Array) -> np.ndarray:
-        """Each word's symbol: its place in the dictionary, or the escape."""
-        return pc.fill_null(pc.add(pc.index_in(words, self.dictionary), _WORDS), _ESCAPE).to_numpy(zero_copy_only=False).astype(np.int64)
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "bytes", "_places")}
+
+    @cached_property
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The dictionary's places by hash, the hashes (and one beyond all), and where those of the same first bits begin; made
+        once in a worker."""
+        hashes = _hashed(self.dictionary)
+        order = np.argsort(hashes, kind="stable")
+        hashes = np.append(hashes[order], np.uint32(1 << 31))
+        return order, hashes, np.searchsorted(hashes, np.arange(1 << 31 - _FIRST, dtype=np.uint32) << np.uint32(_FIRST))
+
+    def symbols(self, words: pa.Array, hashed: np.ndarray) -> np.ndarray:
+        """Each word's symbol: its place in the dictionary, or the escape. hashed: see _hashed."""
+        order, hashes, first = self._places
+        at, out = first.take(hashed >> np.uint32(_FIRST)), np.full(len(words), _ESCAPE, np.int64)
+        left = np.flatnonzero(hashes.take(at) < hashed)
+        while len(left):
+            at[left] += 1
+            left = left[hashes.take(at[left]) < hashed[left]]
+        left = np.flatnonzero(hashes.take(at) == hashed)
+        while len(left):  # again for words that share a hash only
+            place = order.take(at[left])
+            same = pc.equal(words.take(pa.array(left)), self.dictionary.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            out[left[same]] = place[same] + _WORDS
+            left = left[~same]
+            at[left] += 1
+            left = left[hashes.take(at[left]) == hashed[left]]
+        return out
 
 
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +243,7 @@ def _hashed(words: pa.Array) -> np.ndarray:
     if not len(sizes):
         return np.zeros(0, np.uint32)
     starts = np.cumsum(sizes) - sizes
-    mixed = (data.astype(np.uint32) + np.uint32(1)) * _R[(np.arange(len(data)) - np.repeat(starts, sizes)) % 64]
+    mixed = (data.astype(np.uint32) + np.uint32(1)) * _R[(np.arange(len(data)) - np.repeat(starts, sizes)) & 63]
     mixed ^= mixed >> np.uint32(15)
     total = np.add.reduceat(mixed * _C2, starts, dtype=np.uint32)
     return (total ^ total >> np.uint32(13)) & np.uint32((1 << 31) - 1)
@@ -225,7 +256,8 @@ class Tokens:
         self.language, self.words = language, Words(texts)
         words = self.words
         distinct = words.distinct.cast(pa.binary())
-        known = language.symbols(distinct)
+        hashed = _hashed(distinct)
+        known = language.symbols(distinct, hashed)
         n = len(words.index) + len(texts)
         place = np.arange(len(words.index)) + words.text
         self.ids, self.text = np.full(n, _END, np.int64), np.repeat(np.arange(len(texts)), words.sizes + 1)
@@ -237,12 +269,12 @@ class Tokens:
         number = np.full(n, len(distinct))
         number[place] = words.index
         index = words.index[self.unknown]
-        padded = pc.binary_join_element_wise(b"  ", pa.concat_arrays([distinct, pa.array([END.encode()])]), b"")
-        before = pc.binary_slice(padded, -3).take(pa.array(number[self.missing - 1])) if n else padded[:0]
+        before = pa.concat_arrays([distinct, pa.array([END.encode()])]).take(pa.array(number[self.missing - 1]))
+        before = pc.binary_slice(pc.binary_join_element_wise(b"  ", before, b""), -3)
         self.spelled = pc.binary_join_element_wise(before, distinct.take(pa.array(index)), b"", b" ")
         # what each token is known by as a context; an end is 0, so nothing reaches over texts
         key = self.ids.astype(np.uint32)
-        key[self.missing] = (_hashed(distinct) | np.uint32(1 << 31))[index]
+        key[self.missing] = hashed[index] | np.uint32(1 << 31)
         one, common = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         one[1:] = key[:-1]
         marks = (self.ids < _WORDS + FREQUENT) & (self.ids != _ESCAPE)
@@ -266,31 +298,32 @@ class Bits:
             contexts = [np.concatenate(x) for x in zip(contexts, more, strict=True)]
             self._token = np.concatenate((self._token, tokens.missing[first:last][word] - lo))
         self._written, at = code.spelled(symbols)
-        packed = code.packed.take(at)
-        self.words, self.tokens = int(np.searchsorted(self._written, hi - lo)), hi - lo
-        self.value, self.static = packed & 1, code.odds.take(at)
-        inside = packed >> 1 & 7
-        heads = np.flatnonzero(inside == 1)  # bits that begin a group
-        sizes, of = np.diff(heads, append=len(packed)), self._written.take(heads)
-        mixed = (packed.take(heads) >> 4).astype(np.uint32) & np.uint32(0x3FFFFFFF)
-        split = int(np.searchsorted(of, hi - lo))
-        mixed[:split] *= _C1
-        mixed[split:] *= _C3
+        packed = code.packed.take(at, mode="clip")  # no place is out of range here; this mode is faster than the check
+        self.words, self.tokens, self.size = int(np.searchsorted(self._written, hi - lo)), hi - lo, len(symbols)
+        self.value, self.static = packed & 1, packed.view(np.float32)[1::2]
+        inside = packed.astype(np.uint32)
+        mixed = inside >> np.uint32(4)
+        mixed[: self.words] *= _C1
+        mixed[self.words :] *= _C3
+        inside >>= np.uint32(1)
+        inside &= np.uint32(7)
         self.slots = []
         for k, context in enumerate(contexts):
-            hashed = context.take(of)
+            hashed = context.take(self._written, mode="clip")
             hashed ^= mixed
             hashed *= _C2
             hashed ^= hashed >> np.uint32(15)
             hashed *= _C1
             hashed >>= np.uint32(35 - slots)
-            slot = np.repeat((hashed.astype(np.int64) << 3) + (k << slots), sizes)
-            slot += inside
-            self.slots.append(slot)
+            hashed <<= np.uint32(3)
+            hashed += inside
+            hashed += np.uint32(k << slots)
+            self.slots.append(hashed.astype(np.int64))
 
-    @property
-    def of(self) -> np.ndarray:
-        return self._token.take(self._written)
+    def summed(self, of_bits: np.ndarray) -> np.ndarray:
+        """Each token's sum over its bits."""
+        of_symbols = np.bincount(self._written, weights=of_bits, minlength=self.size)
+        return np.bincount(self._token, weights=of_symbols, minlength=self.tokens)
 
 
 def _letters(spelled: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -301,7 +334,7 @@ def _letters(spelled: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     where = np.flatnonzero(place >= 0)
     word, place = word[where], place[where]
     wide = data.astype(np.uint32) + np.uint32(1)
-    terms = wide[where] * _R[place % 64]
+    terms = wide[where] * _R[place & 63]
     running = np.cumsum(terms, dtype=np.uint32) - terms
     prefix = running - running[np.flatnonzero(place == 0)][word] + np.minimum(place, 255).astype(np.uint32)
     last = (wide[where - 1] << np.uint32(20)) + (wide[where - 2] << np.uint32(10)) + wide[where - 3]
@@ -409,16 +442,14 @@ class Learner:
 
     def _step(self, bits: Bits) -> None:
         pairs = self.n.view(np.uint64)
-        x, seen = [bits.static], []
+        x, seen, counted = [bits.static], [], _PAIR.take(bits.value)
         for slot in bits.slots:
-            pair = pairs.take(slot).view(np.uint32)
+            pair = pairs.take(slot, mode="clip").view(np.uint32)
+            np.add.at(pairs, slot, counted)  # now, as the slots are at hand; each predictor has its own
             n0, n1 = pair[::2].astype(np.float32), pair[1::2].astype(np.float32)
             x.append(stretched(n0, n1))
             seen.append(level(n0 + n1))
         self.mixer.learn(x, gates(bits, *seen), bits.value, RATE / math.sqrt(1 + self.steps / 16))
-        counted = _PAIR.take(bits.value)
-        for slot in bits.slots:
-            np.add.at(pairs, slot, counted)
         self.steps += 1
         self.events += len(bits.value)
 
@@ -433,7 +464,7 @@ class Model:
         """Of each bit the probability that it is 1."""
         x, seen = [bits.static], []
         for slot in bits.slots:
-            known = self.known.take(slot)
+            known = self.known.take(slot, mode="clip")
             x.append(_STRETCH.take(known & np.uint16(4095)))
             seen.append(known >> np.uint16(12))
         gate = gates(bits, *seen)
@@ -448,7 +479,7 @@ class Model:
             p = self.probabilities(bits)
             p -= 1 - bits.value.astype(np.float32)  # of a bit that is 0 the probability, negative
             np.log(np.abs(p, out=p), out=p)
-            out[lo:hi] = np.bincount(bits.of, weights=p, minlength=hi - lo)
+            out[lo:hi] = bits.summed(p)
         return out / math.log(10)
 
     def texts(self, texts: pa.Array) -> np.ndarray:

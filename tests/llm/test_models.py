@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import pickle
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,6 +500,33 @@ def test_many_shards_are_added_in_steps(spark, monkeypatch, tmp_path):
     assert once == scores() and len(set(once.values())) > 10
 
 
+def test_words_are_found_without_building_the_dictionary_anew():
+    """A few words in a large dictionary take far less time than a new table of it."""
+    language = pickle.loads(pickle.dumps(lm.Language({b"w%d" % i: 9 for i in range(50_000)} | {b"\n": 5}, 3)))
+    texts, ids = pa.array(["w7 new W49999"]), {w: i for i, w in enumerate(language.dictionary.to_pylist(), 2)}
+    assert lm.Tokens(language, texts).ids.tolist() == [ids[b"w7"], 1, ids[b"w49999"], 0]
+
+    def least(call):
+        times = []
+        for _ in range(7):
+            began = time.process_time()
+            call()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert least(lambda: lm.Tokens(language, texts)) < least(lambda: pc.index_in(pa.array([b"w7"]), language.dictionary)) / 2
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    words = [b"w%d" % i for i in range(300)]
+    language = lm.Language({w: 3 for w in words[::2]} | {b"\n": 5}, 3)
+    for share in (1, 2, 40, 1 << 31):
+        monkeypatch.setattr(lm, "_hashed", lambda x, share=share: np.array([zlib.crc32(w) % share for w in x.to_pylist()], np.uint32))
+        language.__dict__.pop("_places", None)
+        got = lm.Tokens(language, pa.array([" ".join(w.decode() for w in words)])).ids.tolist()
+        assert got == [ids_of(language).get(w, 1) for w in words] + [0]
+
+
 def test_counters_count_on_beyond_floats():
     language = lm.Language({b"a": 5, b"\n": 1}, 0)
     learner = lm.Learner(language, 12)

@@ -206,7 +206,8 @@ class Language:
     def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The dictionary's places by hash, the hashes (and one beyond all), and where those of the same first bits begin; made
         once in a worker."""
-        hashes = _hashed(self.dictionary)
+        parts = [self.dictionary.slice(at, 1 << 14) for at in range(0, len(self.dictionary), 1 << 14)]
+        hashes = np.concatenate([np.zeros(0, np.uint32), *map(_hashed, parts)])
         order = np.argsort(hashes, kind="stable")
         hashes = np.append(hashes[order], np.uint32(1 << 31))
         return order, hashes, np.searchsorted(hashes, np.arange(1 << 31 - _FIRST, dtype=np.uint32) << np.uint32(_FIRST))
